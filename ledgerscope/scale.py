@@ -17,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # A key is hot above this many rows.  At most (rows / HOT_ROWS) keys can be hot,
-# which bounds the broadcast of the hot-key list (10^12 rows -> 250 000 keys).
-HOT_ROWS = 4_000_000
+# which bounds the broadcast of the hot-key list (10^12 rows -> 10^6 keys).
+HOT_ROWS = 1_000_000
 HOT_ROWS_CONF = "spark.ledgerscope.hotRows"
 
 
@@ -91,19 +91,42 @@ def trailing_stats(
 
 
 def _trailing_cold(df, key, ts, measures, include_current):
+    """Differences of running totals, one shuffle by key.
+
+    A frame that starts at the beginning of the partition is updated as it grows,
+    so each total costs one pass; a frame with two moving ends would be added up
+    again at every row.  Sums run in decimals, where differences are exact.
+    """
     order = Window.partitionBy(key).orderBy("__us")
+    start = Window.unboundedPreceding
     out = df.withColumn("__us", micros(ts))
     end = 0 if include_current else -1
+    cache: dict[tuple, str] = {}
+
+    def running(out, column, upper):
+        name = cache.get((column, upper))
+        if name is None:
+            name = f"__r{len(cache)}"
+            cache[(column, upper)] = name
+            value = F.lit(1) if column is None else F.col(column).cast("decimal(28,6)")
+            total = F.count(value) if column is None else F.sum(value)
+            out = out.withColumn(name, F.coalesce(total.over(order.rangeBetween(start, upper)), F.lit(0)))
+        return out, F.col(name)
+
+    results = {}
     for name, (span, kind, column) in measures.items():
-        frame = order.rangeBetween(-(span * 1_000_000 - 1), end)
+        old = -span * 1_000_000
+        out, n_now = running(out, None, end)
+        out, n_old = running(out, None, old)
+        count = n_now - n_old
         if kind == "count":
-            value = F.count(F.lit(1)).over(frame)
-        elif kind == "sum":
-            value = F.coalesce(F.sum(column).over(frame), F.lit(0.0))
-        else:
-            value = F.coalesce(F.avg(column).over(frame), F.lit(0.0))
-        out = out.withColumn(name, value)
-    return out.drop("__us")
+            results[name] = count
+            continue
+        out, s_now = running(out, column, end)
+        out, s_old = running(out, column, old)
+        total = (s_now - s_old).cast("double")
+        results[name] = total if kind == "sum" else F.when(count > 0, total / count).otherwise(0.0)
+    return out.select(*df.columns, *[value.alias(name) for name, value in results.items()])
 
 
 def _trailing_hot(df, key, ts, row_id, measures, include_current, bucket_seconds):
