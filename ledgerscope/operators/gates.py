@@ -181,7 +181,10 @@ def sink_features(edges: DataFrame, as_of: Column, long_days: int = 90) -> DataF
         longer,
     ):
         rows = rows.join(part, "account_id", "full")
-    return rows
+    # An account without transfers in a window moved nothing in it.
+    return rows.fillna(
+        0.0, ["inflow_last_30d", "outflow_last_30d", "retention_ratio", "retention_ratio_long"]
+    )
 
 
 def abandoned_sink_two_path(features: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Job = Callable[[SparkSession, str], DataFrame]
-_MODULES = ["ingest", "rules", "context", "profile", "graph"]
+_MODULES = ["ingest", "rules", "context", "profile", "graph", "gates"]
 
 
 def load() -> dict[str, tuple[Job, str | None]]:

@@ -249,22 +249,33 @@ def prefix_sums(
 
     ``df`` has one row per (``by``, ``order``).  Adds ``cum_<value>`` and ``tot_<value>``.
     """
+    return _running(df, order, values, by, descending, buckets, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))
+
+
+def running_max(df: DataFrame, order: str, value: str, buckets: int = 64) -> DataFrame:
+    """Largest ``value`` so far along ``order`` (inclusive); adds ``cum_<value>``."""
+    # greatest() skips nulls, so an empty start leaves the other side.
+    return _running(df, order, [value], None, False, buckets, F.max, F.greatest)
+
+
+def _running(df, order, values, by, descending, buckets, combine, join_parts):
+    """Range buckets, one window inside each, and the combined value of the buckets before."""
     points = split_points(df, order, by, buckets)
     tag = F.col(by).cast("string") if by else F.lit("all")
     keyed = df.withColumn("__by", tag).join(F.broadcast(points), "__by")
     keyed = keyed.withColumn(
         "__bucket", F.size(F.filter("__points", lambda p: p < F.col(order).cast("double")))
     ).drop("__points")
-    sums = keyed.groupBy("__by", "__bucket").agg(*[F.sum(v).alias(v) for v in values])
+    parts = keyed.groupBy("__by", "__bucket").agg(*[combine(v).alias(v) for v in values])
     direction = F.desc if descending else F.asc
     along = Window.partitionBy("__by").orderBy(direction("__bucket"))
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("__by")
-    offsets = sums.select(
+    offsets = parts.select(
         "__by",
         "__bucket",
-        *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"__off_{v}") for v in values],
-        *[F.sum(v).over(whole).alias(f"tot_{v}") for v in values],
+        *[combine(v).over(earlier).alias(f"__off_{v}") for v in values],
+        *[combine(v).over(whole).alias(f"tot_{v}") for v in values],
     )
     inside = (
         Window.partitionBy("__by", "__bucket")
@@ -272,11 +283,11 @@ def prefix_sums(
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     for v in values:
-        keyed = keyed.withColumn(f"__in_{v}", F.sum(v).over(inside))
+        keyed = keyed.withColumn(f"__in_{v}", combine(v).over(inside))
     # Bounded broadcast: buckets x by-values rows.
     joined = keyed.join(F.broadcast(offsets), ["__by", "__bucket"])
     for v in values:
-        joined = joined.withColumn(f"cum_{v}", F.col(f"__in_{v}") + F.col(f"__off_{v}"))
+        joined = joined.withColumn(f"cum_{v}", join_parts(F.col(f"__in_{v}"), F.col(f"__off_{v}")))
     drop = ["__by", "__bucket"] + [f"__in_{v}" for v in values] + [f"__off_{v}" for v in values]
     return joined.drop(*drop)
 
