@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Job = Callable[[SparkSession, str], DataFrame]
-_MODULES = ["ingest", "rules", "context", "profile", "graph", "gates"]
+_MODULES = [
+    "ingest", "rules", "context", "profile", "graph", "gates", "models", "novelty", "evidence",
+]
 
 
 def load() -> dict[str, tuple[Job, str | None]]:

@@ -192,17 +192,26 @@ def _path_text(df, key):
     )
 
 
-def _trail_sql(forward: bool, hops: int) -> str:
+def trail_ctes(forward: bool, hops: int, name: str = "t") -> str:
+    """CTEs ending in ``<name>_rk``: every trail of every seed with its rank."""
     end, other = ("src", "dst") if forward else ("dst", "src")
     cmp = ">=" if forward else "<="
-    return f""", be AS MATERIALIZED (SELECT * FROM big_edges), sd AS MATERIALIZED (SELECT alert_id AS seed_id, account_id, created_at AS seed_ts FROM alerts WHERE action = 'HIGH_RISK'),
-     tr AS (
-      SELECT s.seed_id, s.seed_ts, e.{other} AS tip, [e.transaction_id] AS ids, [e.{end}, e.{other}] AS nodes, 1 AS hops FROM sd s JOIN be e ON s.account_id = e.{end} AND e.ts {cmp} s.seed_ts
+    return f""", {name}_be AS MATERIALIZED (SELECT * FROM big_edges),
+     {name}_sd AS MATERIALIZED (SELECT alert_id AS seed_id, account_id, created_at AS seed_ts FROM alerts WHERE action = 'HIGH_RISK'),
+     {name}_tr AS (
+      SELECT s.seed_id, s.seed_ts, e.{other} AS tip, [e.transaction_id] AS ids, [e.{end}, e.{other}] AS nodes, 1 AS hops FROM {name}_sd s JOIN {name}_be e ON s.account_id = e.{end} AND e.ts {cmp} s.seed_ts
       UNION ALL
       SELECT t.seed_id, t.seed_ts, e.{other}, list_append(t.ids, e.transaction_id), list_append(t.nodes, e.{other}), t.hops + 1
-      FROM tr t JOIN be e ON t.tip = e.{end} AND e.ts {cmp} t.seed_ts WHERE t.hops < {hops} AND NOT list_contains(t.ids, e.transaction_id)),
-     rk AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY hops DESC, ids) AS rank FROM tr)
-    SELECT seed_id, CAST(hops AS INTEGER) AS hops, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS nodes, array_to_string(ids, ',') AS edge_ids FROM rk WHERE rank <= 20"""
+      FROM {name}_tr t JOIN {name}_be e ON t.tip = e.{end} AND e.ts {cmp} t.seed_ts WHERE t.hops < {hops} AND NOT list_contains(t.ids, e.transaction_id)),
+     {name}_rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY hops DESC, ids) AS rank FROM {name}_tr)"""
+
+
+def _trail_sql(forward: bool, hops: int) -> str:
+    return (
+        trail_ctes(forward, hops)
+        + """ SELECT seed_id, CAST(hops AS INTEGER) AS hops, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS nodes, array_to_string(ids, ',') AS edge_ids
+        FROM t_rk WHERE rank <= 20"""
+    )
 
 
 def trail_seeds(spark, d):
