@@ -45,7 +45,8 @@ def vpa_age_days(ts: Column, created: Column) -> Column:
     seconds = (
         F.unix_micros(ts.cast("timestamp")) - F.unix_micros(created.cast("timestamp"))
     ) / 1_000_000.0
-    return F.greatest(F.floor(seconds / 86_400), F.lit(0)).cast("long")
+    # greatest() skips nulls, so an unknown age needs its own branch.
+    return F.when(seconds.isNotNull(), F.greatest(F.floor(seconds / 86_400), F.lit(0))).cast("long")
 
 
 def micro_test_payment(amount: Column, vpa_age: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerscope import constants as C
+from ledgerscope.functions.rules import clamp
 from ledgerscope.operators import profile as P
 from ledgerscope.operators.graph import basic as B
 from ledgerscope.operators.graph.betweenness import betweenness
@@ -36,7 +37,7 @@ def behaviour(txn: DataFrame, as_of: Column) -> DataFrame:
         ratios,
     ]
     return reduce(lambda a, b: a.join(b, "account_id", "full"), parts).withColumn(
-        "amount_series_score", F.least(F.col("amount_zscore") / 5.0, F.lit(1.0))
+        "amount_series_score", clamp(F.col("amount_zscore") / 5.0)
     )
 
 

@@ -237,7 +237,7 @@ def _(spark, d):
         "alerts shadow big_edges",
         _trail_counts_sql(True, "f")
         + COMMITTEE_SQL
-        + """ SELECT a.alert_id, a.gate AS gate_fired, coalesce(f_c.n, 0) AS forward_hops, a.transaction_id % 7 <> 0 AS has_features, round(CASE WHEN c.ovr THEN 1.0 ELSE c.fallback_score END, 4) AS committee_score, 'DRAFT' AS draft_status
+        + """ SELECT a.alert_id, a.gate AS gate_fired, coalesce(f_c.n, 0) AS forward_hops, a.transaction_id % 7 <> 0 AS has_features, round_even(CASE WHEN c.ovr THEN 1.0 ELSE c.fallback_score END, 4) AS committee_score, 'DRAFT' AS draft_status
         FROM alerts a LEFT JOIN f_c ON a.alert_id = f_c.seed_id JOIN com c USING (transaction_id)""",
         recursive=True,
     ),
