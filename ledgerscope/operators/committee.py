@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ledgerscope import constants as C
 from ledgerscope.functions.rules import clamp, signal_confidence
-from ledgerscope.functions.vectors import cosine
 from ledgerscope.operators.rules import context_vector_columns
 from ledgerscope.scale import cut_lineage, exact_quantiles, prefix_sums, running_max, top_per_key
 
@@ -288,12 +287,14 @@ def _nearest_in(rows: list, k: int):
     matrix = np.array([r["vector"] for r in rows], dtype=np.float64)
     ids = np.array([r["proto_id"] for r in rows], dtype=np.int64)
     labels = np.array([r["label"] for r in rows], dtype=np.int64)
+    # Rows handled at once, so that the differences stay near 64 MB.
+    step = max(1, 8_000_000 // max(matrix.size, 1))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             best = []
-            for start in range(0, len(batch), 256):
-                part = batch.iloc[start : start + 256]
+            for start in range(0, len(batch), step):
+                part = batch.iloc[start : start + step]
                 queries = np.array(part["vector"].tolist(), dtype=np.float64)
                 distance = ((queries[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2)
                 for held, d in zip(part["best"], distance):
@@ -369,17 +370,41 @@ def centroids(vectors: DataFrame, key: str = "cluster") -> DataFrame:
     )
 
 
-def scorer_f(remarks: DataFrame, cluster_centroids: DataFrame) -> DataFrame:
+def _best_cosine(rows: list):
+    matrix = np.array(rows, dtype=np.float64)
+    lengths = np.linalg.norm(matrix, axis=1)
+
+    @F.pandas_udf("double")
+    def best(vectors: pd.Series) -> pd.Series:
+        out = np.zeros(len(vectors))
+        present = vectors.notna().to_numpy()
+        if present.any():
+            queries = np.array(vectors[present].tolist(), dtype=np.float64)
+            product = np.linalg.norm(queries, axis=1)[:, None] * lengths[None, :]
+            dots = queries @ matrix.T
+            out[present] = np.divide(dots, product, out=np.zeros_like(dots), where=product > 0).max(axis=1)
+        return pd.Series(out)
+
+    return best
+
+
+def scorer_f(remarks: DataFrame, cluster_centroids: DataFrame, block: int = 4_096) -> DataFrame:
     """Best cosine of a remark vector to a cluster centroid, mapped to [0, 1].
 
-    ``remarks``: ``(id, remark, vector)``.  The clusters are a fixed dictionary of
-    fraud phrasings, so the list of centroids does not grow with the remarks.
+    ``remarks``: ``(id, remark, vector)``.  Centroids are read in blocks of fixed
+    size; each block is one vectorised expression over the remarks, and any number
+    of blocks is handled.
     """
-    listed = [list(r[0]) for r in cluster_centroids.select("centroid").collect()]
-    best = F.lit(0.0)
-    for centroid in listed:
-        best = F.greatest(best, cosine(F.col("vector"), F.array(*[F.lit(float(x)) for x in centroid])))
-    blank = F.coalesce(F.trim("remark") == "", F.lit(True)) | F.col("vector").isNull() | F.lit(not listed)
+    best, known = F.lit(0.0), False
+    rows: list = []
+    for row in cluster_centroids.select("centroid").toLocalIterator():
+        rows.append(list(row[0]))
+        known = True
+        if len(rows) == block:
+            best, rows = F.greatest(best, _best_cosine(rows)(F.col("vector"))), []
+    if rows:
+        best = F.greatest(best, _best_cosine(rows)(F.col("vector")))
+    blank = F.coalesce(F.trim("remark") == "", F.lit(True)) | F.col("vector").isNull() | F.lit(not known)
     scored = remarks.withColumn("__sim", best)
     return scored.select(
         "id",

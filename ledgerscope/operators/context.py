@@ -265,30 +265,30 @@ def latest_n(txn: DataFrame, key: str, n: int, ts: str = "ts", row_id: str = "tr
 
 def latest_per_key(df: DataFrame, key: str, ts: str) -> DataFrame:
     """Newest row per key; ties by the remaining columns in name order."""
-    ties = [F.asc(c) for c in sorted(df.columns) if c not in (key, ts)]
+    ties = [F.asc(c) for c, kind in sorted(df.dtypes) if c not in (key, ts) and "map<" not in kind]
     return top_per_key(df, [key], [F.desc(ts), *ties], 1)
 
 
 def fingerprint_occurrences(
-    novel: DataFrame, gap_days: int = C.FINGERPRINT_GAP_DAYS, bucket_seconds: int = 3_600
+    novel: DataFrame, gap_days: int = C.FINGERPRINT_GAP_DAYS, bucket_seconds: int = 60
 ) -> DataFrame:
     """Running count of a fingerprint within a run whose gaps stay under ``gap_days``.
 
-    A counter whose expiry is renewed on each hit is a session.  Hour buckets are
+    A counter whose expiry is renewed on each hit is a session.  Minutes are
     summarised first; session ids and prefix counts are found on the summaries, and
-    only rows of one fingerprint and one hour share a window.
+    only rows of one fingerprint and one minute share a window.
     """
     gap = gap_days * 86_400 * 1_000_000
     base = novel.withColumn("__us", micros("ts")).withColumn(
         "__b", F.floor(F.col("__us") / (bucket_seconds * 1_000_000))
     )
-    hours = base.groupBy("fingerprint", "__b").agg(
+    minutes = base.groupBy("fingerprint", "__b").agg(
         F.min("__us").alias("__lo"), F.max("__us").alias("__hi"), F.count(F.lit(1)).alias("__n")
     )
     order = Window.partitionBy("fingerprint").orderBy("__b")
-    # The gap to the previous hour's last hit decides whether a new run starts.
+    # The gap to the last hit of the minute before decides whether a new run starts.
     started = F.coalesce((F.col("__lo") - F.lag("__hi").over(order) >= gap), F.lit(True))
-    runs = hours.withColumn("__new", started.cast("int"))
+    runs = minutes.withColumn("__new", started.cast("int"))
     runs = runs.withColumn("__run", F.sum("__new").over(order))
     within = (
         Window.partitionBy("fingerprint", "__run")

@@ -60,7 +60,7 @@ def strong_components(graph: DataFrame) -> DataFrame:
         same = same.join(colour.select(F.col("id").alias("dst"), F.col("colour").alias("cd")), "dst")
         links = cut_lineage(same.filter("cs = cd").select("src", "dst", F.col("cs").alias("colour")))
         reached = cut_lineage(colour.filter(F.col("id") == F.col("colour")).select("id", "colour"))
-        frontier = reached
+        frontier, rounds = reached, 0
         while True:
             back = (
                 links.join(frontier.select(F.col("id").alias("dst"), "colour"), ["dst", "colour"])
@@ -71,7 +71,9 @@ def strong_components(graph: DataFrame) -> DataFrame:
             frontier = cut_lineage(back)
             if not frontier.take(1):
                 break
-            reached = reached.union(frontier)
+            reached, rounds = reached.union(frontier), rounds + 1
+            if rounds % 10 == 0:
+                reached = cut_lineage(reached)
         found.append(reached)
         rest = links.join(reached.select(F.col("id").alias("src")), "src", "left_anti")
         links = cut_lineage(rest.join(reached.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))

@@ -57,22 +57,26 @@ def random_walks(
     """
     links = both_ways(undirected(graph)).filter(F.col("weight") > 0)
     table = cut_lineage(_draw_table(cut_lineage(links)))
-    degrees = table.groupBy("id").agg(F.max("deg").alias("deg"))
-    degrees = cut_lineage(degrees)
+    degrees = cut_lineage(table.groupBy("id").agg(F.max("deg").alias("deg")))
+    # The degree of the neighbour rides along, so a step is one join.
+    options = table.select(F.col("id").alias("tip"), "slot", "lo", "hi", "nbr").join(
+        degrees.select(F.col("id").alias("nbr"), F.col("deg").alias("nbr_deg")), "nbr"
+    )
+    options = cut_lineage(options)
     state = degrees.select(
-        F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("__w"), F.col("id")
+        F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("__w"), F.col("id"), "deg"
     ).select(
         F.xxhash64("id", "__w", F.lit(seed)).alias("walk"),
         F.col("id").alias("start"),
         F.array("id").alias("path"),
         F.col("id").alias("tip"),
+        "deg",
     )
     for step in range(1, length):
         draw = F.pmod(F.xxhash64("walk", F.lit(step), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-        placed = state.join(degrees.withColumnRenamed("id", "tip"), "tip").withColumn("__u", draw)
+        placed = state.withColumn("__u", draw)
         slot = F.least(F.floor(F.col("__u") * F.col("deg")), F.col("deg") - 1)
         placed = placed.select("walk", "start", "path", "tip", "__u", slot.alias("slot"))
-        options = table.select(F.col("id").alias("tip"), "slot", "lo", "hi", "nbr")
         met = placed.join(options, ["tip", "slot"])
         # Rounding can leave a draw on the seam of two shares: the later start wins.
         chosen = (
@@ -81,11 +85,15 @@ def random_walks(
             .agg(
                 F.first("start").alias("start"),
                 F.first("path").alias("path"),
-                F.max_by("nbr", F.struct("lo", "nbr")).alias("tip"),
+                F.max(F.struct("lo", "nbr", "nbr_deg")).alias("__next"),
             )
         )
         state = chosen.select(
-            "walk", "start", F.concat("path", F.array("tip")).alias("path"), "tip"
+            "walk",
+            "start",
+            F.concat("path", F.array("__next.nbr")).alias("path"),
+            F.col("__next.nbr").alias("tip"),
+            F.col("__next.nbr_deg").alias("deg"),
         )
         if step % 5 == 0:
             state = cut_lineage(state)

@@ -262,6 +262,7 @@ def set_features(txn: DataFrame, as_of: Column, min_rows: int = 5) -> DataFrame:
     ) / 86_400_000_000.0
     new_vpa = F.coalesce(age < 7, F.lit(False))
     high = amount > 100_000
+    kinds = ["night", "high", "new_vpa"]
     kind = F.when(night, "night").when(high, "high").when(new_vpa, "new_vpa")
     rounded = (F.round(amount, 0).cast("long") % 1000 == 0) & (amount > 10_000)
     counted = (
@@ -274,7 +275,7 @@ def set_features(txn: DataFrame, as_of: Column, min_rows: int = 5) -> DataFrame:
             F.countDistinct("channel").alias("__channels"),
             _count_if(amount < 1).alias("__micro"),
             _count_if(rounded).alias("__round"),
-            F.countDistinct(kind).alias("__kinds"),
+            *[F.max((kind == k).cast("int")).alias(f"__is_{k}") for k in kinds],
             F.count(F.lit(1)).alias("__n"),
         )
     )
@@ -286,7 +287,7 @@ def set_features(txn: DataFrame, as_of: Column, min_rows: int = 5) -> DataFrame:
         "count_of_channel_switches": (F.least(F.col("__channels"), F.lit(5)) - 1) / 4.0,
         "has_any_micro_test_payment": (F.col("__micro") > 0).cast("double"),
         "has_any_round_amount_burst": (F.col("__round") > 0).cast("double"),
-        "distinct_fraud_proximate_action_types": F.least(F.col("__kinds"), F.lit(3)) / 3.0,
+        "distinct_fraud_proximate_action_types": reduce(lambda a, b: a + b, [F.coalesce(f"__is_{k}", F.lit(0)) for k in kinds]) / 3.0,
     }
     enough = n >= min_rows
     return counted.select("account_id", *[F.when(enough, v).alias(k) for k, v in values.items()])

@@ -28,7 +28,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="ledgerscope-"))
+        if shared is None:
+            # A folder of this machine serves a local session only.
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="ledgerscope-")
+        context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
 
 
