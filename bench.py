@@ -15,6 +15,9 @@ from ledgerscope.session import local_session  # noqa: E402
 HEADLINE = [
     "p5_p6_tier1",
     "p11_context_adjustment",
+    "p19_scored_payments",
+    "j3_known_contact",
+    "j9_sanctions",
     "w1_sliding_velocity",
     "w6_fingerprint_runs",
     "a1_velocity",
@@ -24,6 +27,20 @@ HEADLINE = [
     "a14_set_features",
     "a15_benford_receipts",
     "a16_fan_in_zscore",
+    "r3_bipartite_core",
+    "r5_merchant_terminal",
+    "g3_pagerank",
+    "g5_clustering",
+    "g12_strong_components",
+    "g10_trails_backward",
+    "r9_score_graphs",
+    "m10_committee",
+    "m14_pr_curve",
+    "j11_nearest_prototypes",
+    "p22_card_risk",
+    "n6_route_discovery",
+    "n8_psi_baseline",
+    "e1_route_feedback",
 ]
 
 

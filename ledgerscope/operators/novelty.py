@@ -120,8 +120,9 @@ def score_isolation(
     has at most trees x 2 x sample nodes whatever the data, so it is sent along.
     """
     forest = trees.toPandas()
-    raw = _isolation_raw(df, columns, forest, sample)
-    base = raw if reference is None else _isolation_raw(reference, columns, forest, sample)
+    # Scored once and stored: the quantile and the result both read it.
+    raw = cut_lineage(_isolation_raw(df, columns, forest, sample))
+    base = raw if reference is None else cut_lineage(_isolation_raw(reference, columns, forest, sample))
     long = base.select(F.lit("all").alias("f"), F.col("__raw").alias("v"))
     offset = float(exact_quantiles(long, "f", "v", [contamination]).first()["quantile"])
     return (

@@ -227,19 +227,48 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return ranked.filter(F.col("__rn") <= n).drop("__rn")
 
 
-def split_points(df: DataFrame, column: str, by: str | None, buckets: int) -> DataFrame:
-    """Range boundaries of ``column`` (per ``by`` value), fixed once as literals.
+def split_points(df: DataFrame, column: str, by: str | None, buckets: int) -> dict[str, list[float]]:
+    """Range boundaries of ``column`` per ``by`` value (or under ``"all"``).
 
     The result holds ``buckets`` numbers per ``by`` value; ``by`` is a list of
     features, so its size does not grow with the rows.  Fixing the boundaries on
     the driver keeps every later use of them identical.
     """
-    spark = df.sparkSession
     probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    grouped = df.groupBy(F.col(by).alias("__by") if by else F.lit("all").alias("__by"))
-    rows = grouped.agg(F.percentile_approx(column, probabilities, 10_000).alias("points")).collect()
-    data = [(str(r["__by"]), sorted(set(float(p) for p in (r["points"] or [])))) for r in rows]
-    return spark.createDataFrame(data, "__by string, __points array<double>")
+    grouped = df.groupBy(F.col(by).cast("string").alias("__by") if by else F.lit("all").alias("__by"))
+    rows = grouped.agg(F.percentile_approx(column, probabilities, 2_000).alias("points")).collect()
+    return {r["__by"]: sorted({float(p) for p in (r["points"] or [])}) for r in rows}
+
+
+def _bucket_of(value: Column, points: list[float]) -> Column:
+    """Number of boundaries below ``value``: a binary search as nested conditions, compiled code."""
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(value <= points[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(points))
+
+
+# Up to this many boundary lists are written into the plan as conditions.
+_INLINE_LISTS = 8
+
+
+def _with_bucket(df: DataFrame, order: str, by: str | None, buckets: int) -> DataFrame:
+    points = split_points(df, order, by, buckets)
+    value = F.col(order).cast("double")
+    keyed = df.withColumn("__by", F.col(by).cast("string") if by else F.lit("all"))
+    if len(points) <= _INLINE_LISTS:
+        bucket = F.lit(0)
+        for name, cuts in points.items():
+            bucket = F.when(F.col("__by") == name, _bucket_of(value, cuts)).otherwise(bucket)
+        return keyed.withColumn("__bucket", bucket)
+    table = df.sparkSession.createDataFrame(list(points.items()), "__by string, __points array<double>")
+    # One row of ``buckets`` numbers per feature.
+    joined = keyed.join(F.broadcast(table), "__by")
+    return joined.withColumn("__bucket", F.size(F.filter("__points", lambda p: p < value))).drop("__points")
 
 
 def prefix_sums(
@@ -265,12 +294,7 @@ def running_max(df: DataFrame, order: str, value: str, buckets: int = 64) -> Dat
 
 def _running(df, order, values, by, descending, buckets, combine, join_parts):
     """Range buckets, one window inside each, and the combined value of the buckets before."""
-    points = split_points(df, order, by, buckets)
-    tag = F.col(by).cast("string") if by else F.lit("all")
-    keyed = df.withColumn("__by", tag).join(F.broadcast(points), "__by")
-    keyed = keyed.withColumn(
-        "__bucket", F.size(F.filter("__points", lambda p: p < F.col(order).cast("double")))
-    ).drop("__points")
+    keyed = _with_bucket(df, order, by, buckets)
     parts = keyed.groupBy("__by", "__bucket").agg(*[combine(v).alias(v) for v in values])
     direction = F.desc if descending else F.asc
     along = Window.partitionBy("__by").orderBy(direction("__bucket"))
