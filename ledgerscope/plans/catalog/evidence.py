@@ -219,7 +219,7 @@ def _(spark, d):
     "e6_report_payload",
     with_views(
         "alerts txn",
-        """SELECT a.alert_id AS report_reference, t.amount, t.account_id, 'UNKNOWN' AS fraud_type, DATE '2024-01-31' AS report_date,
+        """SELECT a.alert_id AS report_reference, t.amount, t.account_id, 'UNKNOWN' AS fraud_type, '2024-01-31' AS report_date,
         sha256(a.alert_id || '|' || a.transaction_id || '|' || printf('%.2f', t.amount)) AS payload_hash FROM alerts a JOIN txn t USING (transaction_id)""",
     ),
 )
@@ -227,7 +227,12 @@ def _(spark, d):
     a, t = V.alerts(spark, d), V.txn(spark, d)
     drafts = E.report_draft(a, t, _contributions(spark, d))
     return E.report_payload(a, t, drafts, as_of()).select(
-        "report_reference", "amount", "account_id", "fraud_type", "report_date", "payload_hash"
+        "report_reference",
+        "amount",
+        "account_id",
+        "fraud_type",
+        F.col("report_date").cast("string").alias("report_date"),
+        "payload_hash",
     )
 
 
