@@ -15,7 +15,7 @@ QUERIES = q = Registry()
     "j1_j2_account_context",
     with_views(
         "txn acct",
-        """SELECT t.transaction_id, CASE WHEN a.id IS NULL THEN 'SAVINGS' ELSE a.account_type END AS account_type, a.kyc_occupation, a.kyc_age,
+        """SELECT t.transaction_id, CASE WHEN a.id IS NULL THEN 'SAVINGS' ELSE a.account_type END AS account_type, a.kyc_occupation, CAST(a.kyc_age AS DOUBLE) AS kyc_age,
         coalesce(a.account_age_days, 0) AS account_age_days, b.account_age_days AS payee_account_age_days
         FROM txn t LEFT JOIN (SELECT * FROM acct WHERE account_age_days > 300) a ON t.account_id = a.id
         LEFT JOIN acct b ON t.payee_account_id = b.id""",
@@ -28,7 +28,7 @@ def _(spark, d):
         "transaction_id",
         "account_type",
         "kyc_occupation",
-        "kyc_age",
+        F.col("kyc_age").cast("double").alias("kyc_age"),
         "account_age_days",
         "payee_account_age_days",
     )

@@ -136,7 +136,7 @@ def _trail_counts_sql(forward: bool, name: str) -> str:
         "big_edges alerts",
         _trail_counts_sql(True, "f")
         + _trail_counts_sql(False, "b")
-        + """ SELECT a.alert_id, coalesce(f_c.n, 0) AS forward_hops, coalesce(b_c.n, 0) AS backward_hops, CAST(f_c.top AS INTEGER) AS longest
+        + """ SELECT a.alert_id, coalesce(f_c.n, 0) AS forward_hops, coalesce(b_c.n, 0) AS backward_hops, CAST(f_c.top AS DOUBLE) AS longest
         FROM alerts a LEFT JOIN f_c ON a.alert_id = f_c.seed_id LEFT JOIN b_c ON a.alert_id = b_c.seed_id WHERE a.action = 'HIGH_RISK'""",
         recursive=True,
     ),
@@ -145,7 +145,7 @@ def _(spark, d):
     forward, backward = _trails(spark, d)
     a = V.alerts(spark, d).filter(F.col("action") == "HIGH_RISK")
     package = E.trail_package(a, forward, backward)
-    return package.select("alert_id", "forward_hops", "backward_hops", F.array_max("forward_paths.hops").alias("longest"))
+    return package.select("alert_id", "forward_hops", "backward_hops", F.array_max("forward_paths.hops").cast("double").alias("longest"))
 
 
 @q(

@@ -322,10 +322,11 @@ GRAPHS_SQL = """, ge AS MATERIALIZED (SELECT CAST(day(ts) AS INTEGER) AS graph_i
 
 @q(
     "g17_longest_chain",
-    with_views("edges", GRAPHS_SQL + " SELECT graph_id, cyclic, cyclic AS not_acyclic, CAST(depth AS INTEGER) AS depth FROM gd", recursive=True),
+    with_views("edges", GRAPHS_SQL + " SELECT graph_id, cyclic, cyclic AS not_acyclic, CAST(depth AS DOUBLE) AS depth FROM gd", recursive=True),
 )
 def _(spark, d):
-    return S.longest_chain(daily_graphs(spark, d))
+    chains = S.longest_chain(daily_graphs(spark, d))
+    return chains.withColumn("depth", F.col("depth").cast("double"))
 
 
 SNAPSHOT_SQL = (

@@ -358,11 +358,12 @@ def _(spark, d):
         "scores",
         "SELECT action, coalesce(gate_fired, 'none') AS gate_fired, CAST(CASE "
         + " ".join(f"WHEN processing_ms <= {b} THEN {b}" for b in [5, 10, 20, 30, 50, 75, 90, 100, 150, 200, 500])
-        + " END AS INTEGER) AS latency_ms_le, count(*) AS n FROM scores GROUP BY ALL",
+        + " END AS DOUBLE) AS latency_ms_le, count(*) AS n FROM scores GROUP BY ALL",
     ),
 )
 def _(spark, d):
-    return P.action_counts(V.scores(spark, d))
+    counts = P.action_counts(V.scores(spark, d))
+    return counts.withColumn("latency_ms_le", F.col("latency_ms_le").cast("double"))
 
 
 @q(
