@@ -7,7 +7,9 @@ per worker and looked up afterwards.
 
 Defined results: null is the empty text; an empty text has no tokens; texts of any
 length are encoded whole; a symbol outside the vocabulary is left out, as the tokenizer
-file asks when it names no unknown token.
+file asks when it names no unknown token.  Letter and number classes are those of the
+installed ``regex``; code points assigned after the tokenizer library's own Unicode
+tables may be split differently.
 """
 
 from __future__ import annotations

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +36,8 @@ def test_random_texts(pair):
 
 def test_code_points(pair):
     for code in [*range(1, 0x500), *range(0x1E00, 0x3100), *range(0x1F300, 0x1F700)]:
-        same(pair, f"a{chr(code)}b {chr(code)}1")
+        if unicodedata.category(chr(code)) != "Cn":
+            same(pair, f"a{chr(code)}b {chr(code)}1")
 
 
 def test_long_and_odd_texts(pair):
