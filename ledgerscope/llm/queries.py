@@ -38,3 +38,10 @@ def op6(spark, sf_dir):
     from ledgerscope.llm import bpe
 
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
+
+
+@register("op2_decontaminate")
+def op2(spark, sf_dir):
+    from ledgerscope.llm import decontaminate
+
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
