@@ -45,3 +45,17 @@ def op2(spark, sf_dir):
     from ledgerscope.llm import decontaminate
 
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op7_language_id")
+def op7(spark, sf_dir):
+    from ledgerscope.llm import language_id
+
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@register("op5_simhash")
+def op5(spark, sf_dir):
+    from ledgerscope.llm import simhash
+
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
