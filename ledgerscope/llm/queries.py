@@ -59,3 +59,10 @@ def op5(spark, sf_dir):
     from ledgerscope.llm import simhash
 
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op10_secrets")
+def op10(spark, sf_dir):
+    from ledgerscope.llm import secrets
+
+    return secrets.report(table(spark, sf_dir, "documents"))
