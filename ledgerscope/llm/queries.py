@@ -66,3 +66,10 @@ def op10(spark, sf_dir):
     from ledgerscope.llm import secrets
 
     return secrets.report(table(spark, sf_dir, "documents"))
+
+
+@register("op3_chat_format")
+def op3(spark, sf_dir):
+    from ledgerscope.llm import chat
+
+    return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
