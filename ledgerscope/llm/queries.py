@@ -73,3 +73,19 @@ def op3(spark, sf_dir):
     from ledgerscope.llm import chat
 
     return chat.digests(chat.with_probe(table(spark, sf_dir, "conversations")))
+
+
+@register("op8_toxicity")
+def op8(spark, sf_dir):
+    from ledgerscope.llm import toxicity
+
+    return toxicity.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op9_neighbours")
+def op9(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from ledgerscope.llm import ann
+
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
