@@ -89,3 +89,10 @@ def op9(spark, sf_dir):
     from ledgerscope.llm import ann
 
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+@register("op1_line_dedup")
+def op1(spark, sf_dir):
+    from ledgerscope.llm import line_dedup
+
+    return line_dedup.report(table(spark, sf_dir, "documents"))
