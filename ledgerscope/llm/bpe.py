@@ -268,3 +268,15 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     kind = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     done = _on_documents(docs, path, text, [doc_id], kind, row)
     return done.select(F.col("row").getField(doc_id).alias("doc_id"), "result.*")
+
+
+def tokenised(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``row`` and ``result``: ids of the whole text, and the digest of what they decode to."""
+
+    def row(codec: Codec, t: str) -> dict:
+        ids = codec.encode(t)
+        decoded = codec.decode(ids).encode("utf-8", "surrogatepass")
+        return {"n_tokens": len(ids), "ids": ids, "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
+
+    kind = "n_tokens long, ids array<int>, decoded_sha256 string"
+    return _on_documents(docs, path, text, carry or docs.columns, kind, row)

@@ -25,7 +25,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope.llm.components import connected, use_checkpoints
@@ -221,20 +221,23 @@ def links(prints: DataFrame, fp: str = "fp") -> DataFrame:
     return stream_groups(keyed, ["n", "bits"], ["fp"], "a long, b long", work).distinct()
 
 
+def _classed(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of :func:`fingerprints`, kept, and ``fp, class`` of each fingerprint."""
+    use_checkpoints(made.sparkSession)
+    # Read twice; a few numbers a document.
+    rows = made.select("row.*", F.col("result.fp").alias("fp")).checkpoint()
+    prints = rows.select("fp").distinct()
+    label = connected(links(prints), "a", "b").withColumnRenamed("node", "fp")
+    # A fingerprint without links is its own class.
+    return rows, prints.join(label, "fp", "left").select("fp", F.coalesce("component", "fp").alias("class"))
+
+
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, fp, component_id``: the smallest id reachable over links."""
-    made = fingerprints(docs, text, [doc_id])
-    rows = made.select(F.col("row").getField(doc_id).alias("doc_id"), F.col("result.fp").alias("fp"))
-    # Read twice below; a written copy is as small as two numbers a document.
-    use_checkpoints(docs.sparkSession)
-    rows = rows.checkpoint()
-    prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    label = connected(links(prints), "a", "b")
-    # fp -> class of fingerprints; a fingerprint without links is its own.
-    named = prints.join(label.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("class")
-    )
-    least = named.groupBy("class").agg(F.min("first").alias("component_id"))
+    source = docs.select(column(doc_id).alias("doc_id"), column(text).alias("text"))
+    rows, named = _classed(fingerprints(source, "text", ["doc_id"]))
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = first.join(named, "fp").groupBy("class").agg(F.min("first").alias("component_id"))
     of = named.join(least, "class").select("fp", "component_id")
     return rows.join(of, "fp").select("doc_id", "fp", "component_id")
 
@@ -246,11 +249,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: the smallest id; of rows that repeat it, one."""
-    found = classes(docs, doc_id, text)
-    chosen = found.filter("doc_id <=> component_id").select(F.col("doc_id").alias("id")).distinct()
-    packed = docs.select(F.struct("*").alias("row"), column(doc_id).alias("id"))
-    kept = packed.join(chosen, packed["id"].eqNullSafe(chosen["id"]), "left_semi")
-    # Rows that repeat the chosen id: the smallest by their text hash.
-    one = kept.groupBy("id").agg(F.min_by("row", F.xxhash64(F.col("row").getField(text))).alias("row"))
-    return one.select("row.*")
+    """One document of each class: the smallest id, then the smallest hash of its text.
+
+    Rows that repeat id and text are one document.
+    """
+    key = [column(doc_id).alias("id"), F.xxhash64(F.coalesce(column(text), F.lit(""))).alias("th")]
+    rows, named = _classed(fingerprints(docs.select(*key, column(text).alias("text")), "text", ["id", "th"]))
+    mine = F.struct(F.isnull("id").alias("none"), "id", "th")
+    first = rows.groupBy("fp").agg(F.min(mine).alias("first"))
+    chosen = first.join(named, "fp").groupBy("class").agg(F.min("first").alias("first")).select("first.id", "first.th")
+    packed = docs.select(F.struct("*").alias("row"), *key)
+    same = (packed["th"] == chosen["th"]) & packed["id"].eqNullSafe(chosen["id"])
+    kept = packed.join(chosen, same, "left_semi")
+    nth = F.row_number().over(Window.partitionBy("th", "id").orderBy("th"))
+    return kept.withColumn("nth", nth).filter("nth = 1").select("row.*")
