@@ -100,6 +100,20 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
+# Text bytes worked on at a time where a pass needs several numbers a byte.
+SLICE_BYTES = 4 << 20
+
+
+def slices(array: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """The texts in runs of about ``limit`` bytes: bounds the memory of numpy passes."""
+    _, at = flat(array)
+    start = 0
+    while start < len(array):
+        stop = max(start + 1, int(np.searchsorted(at, at[start] + limit, side="right")) - 1)
+        yield array.slice(start, stop - start)
+        start = stop
+
+
 def stream_groups(
     df: DataFrame,
     keys: Sequence[str],

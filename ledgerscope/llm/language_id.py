@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.frames import column, flat, map_rows
+from ledgerscope.llm.frames import column, flat, map_rows, slices
 
 ROWS_PER_LANGUAGE = 64
 CHARS_PER_LANGUAGE = 30_000
@@ -145,6 +145,9 @@ class Parser:
         self.table = model.symbols()
 
     def __call__(self, texts: pa.Array) -> list[dict]:
+        return [row for part in slices(texts) for row in self._parse(part)]
+
+    def _parse(self, texts: pa.Array) -> list[dict]:
         data, at = flat(texts)
         codes = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         # Character offsets: bytes that do not continue a character.

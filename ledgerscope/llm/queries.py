@@ -96,3 +96,10 @@ def op1(spark, sf_dir):
     from ledgerscope.llm import line_dedup
 
     return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@register("op4_substring_dedup")
+def op4(spark, sf_dir):
+    from ledgerscope.llm import substring_dedup
+
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
