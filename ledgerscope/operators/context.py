@@ -191,7 +191,6 @@ def sliding_velocity(txn: DataFrame, include_current: bool = False) -> DataFrame
         txn,
         "account_id",
         "ts",
-        "transaction_id",
         {"velocity_1h": (HOUR, "count", None), "velocity_24h": (DAY, "count", None)},
         include_current,
     )
@@ -199,7 +198,7 @@ def sliding_velocity(txn: DataFrame, include_current: bool = False) -> DataFrame
 
 def sliding_volume(txn: DataFrame, include_current: bool = False) -> DataFrame:
     return trailing_stats(
-        txn, "account_id", "ts", "transaction_id", {"volume_1h": (HOUR, "sum", "amount")}, include_current
+        txn, "account_id", "ts", {"volume_1h": (HOUR, "sum", "amount")}, include_current
     )
 
 
@@ -209,7 +208,6 @@ def running_context(txn: DataFrame, include_current: bool = False) -> DataFrame:
         txn,
         "account_id",
         "ts",
-        "transaction_id",
         {
             "avg_amount_30d": (30 * DAY, "avg", "amount"),
             "daily_txn_count": (DAY, "count", None),
@@ -224,7 +222,6 @@ def point_in_time(txn: DataFrame, include_current: bool = False) -> DataFrame:
         txn,
         "account_id",
         "ts",
-        "transaction_id",
         {
             "velocity_1h": (HOUR, "count", None),
             "velocity_24h": (DAY, "count", None),

@@ -75,7 +75,6 @@ def trailing_stats(
     df: DataFrame,
     key: str,
     ts: str,
-    row_id: str,
     measures: dict[str, tuple[int, str, str | None]],
     include_current: bool = False,
     bucket_seconds: int = 60,
@@ -84,15 +83,23 @@ def trailing_stats(
 
     ``measures`` maps an output name to ``(span_seconds, "count"|"sum"|"avg",
     column)``.  The span is open at its old end and, unless ``include_current``,
-    ends strictly before the row, so ties and the row itself stay out.
+    ends strictly before the row, so ties and the row itself stay out.  Means are
+    over values that are not null; rows without a time have an empty span, rows
+    without a key form one group; repeated rows and ids are all kept.
     """
     cold, hot = split_hot(df, [key])
     windowed = _trailing_cold(cold, key, ts, measures, include_current)
     if hot is None:
         return windowed
+    # Rows without a time have an empty span on either route.
+    untimed = hot.filter(F.col(ts).isNull())
     return windowed.unionByName(
-        _trailing_hot(hot, key, ts, row_id, measures, include_current, bucket_seconds)
-    )
+        _trailing_hot(hot.filter(F.col(ts).isNotNull()), key, ts, measures, include_current, bucket_seconds)
+    ).unionByName(untimed.select(*df.columns, *_empty_spans(measures)))
+
+
+def _empty_spans(measures):
+    return [(F.lit(0).cast("long") if kind == "count" else F.lit(0.0)).alias(n) for n, (_, kind, _) in measures.items()]
 
 
 def _trailing_cold(df, key, ts, measures, include_current):
@@ -108,33 +115,36 @@ def _trailing_cold(df, key, ts, measures, include_current):
     end = 0 if include_current else -1
     cache: dict[tuple, str] = {}
 
-    def running(out, column, upper):
-        name = cache.get((column, upper))
+    def running(out, how, column, upper):
+        name = cache.get((how, column, upper))
         if name is None:
             name = f"__r{len(cache)}"
-            cache[(column, upper)] = name
+            cache[(how, column, upper)] = name
             value = F.lit(1) if column is None else F.col(column).cast("decimal(28,6)")
-            total = F.count(value) if column is None else F.sum(value)
+            total = F.count(value) if how == "count" else F.sum(value)
             out = out.withColumn(name, F.coalesce(total.over(order.rangeBetween(start, upper)), F.lit(0)))
         return out, F.col(name)
 
     results = {}
+    timed = F.col("__us").isNotNull()
     for name, (span, kind, column) in measures.items():
         old = -span * 1_000_000
-        out, n_now = running(out, None, end)
-        out, n_old = running(out, None, old)
+        # A mean is over the values that are there, as SQL's AVG.
+        out, n_now = running(out, "count", column if kind == "avg" else None, end)
+        out, n_old = running(out, "count", column if kind == "avg" else None, old)
         count = n_now - n_old
         if kind == "count":
-            results[name] = count
+            results[name] = F.when(timed, count).otherwise(F.lit(0).cast("long"))
             continue
-        out, s_now = running(out, column, end)
-        out, s_old = running(out, column, old)
+        out, s_now = running(out, "sum", column, end)
+        out, s_old = running(out, "sum", column, old)
         total = (s_now - s_old).cast("double")
-        results[name] = total if kind == "sum" else F.when(count > 0, total / count).otherwise(0.0)
+        value = total if kind == "sum" else F.when(count > 0, total / count)
+        results[name] = F.coalesce(F.when(timed, value), F.lit(0.0))
     return out.select(*df.columns, *[value.alias(name) for name, value in results.items()])
 
 
-def _trailing_hot(df, key, ts, row_id, measures, include_current, bucket_seconds):
+def _trailing_hot(df, key, ts, measures, include_current, bucket_seconds):
     """Prefix-sum route.
 
     Every row becomes one data event at its time t and one probe per distinct
@@ -146,10 +156,13 @@ def _trailing_hot(df, key, ts, row_id, measures, include_current, bucket_seconds
     columns = sorted({c for _, kind, c in measures.values() if kind != "count"})
     bucket = bucket_seconds * 1_000_000
     exact = "decimal(38,6)"
+    # Ids of the table may repeat: every row gets one of its own, fixed by the cut.
+    df = cut_lineage(df.withColumn("__id", F.monotonically_increasing_id()))
+    kept = [c for c in df.columns if c != "__id"]
     base = df.select(
-        F.struct(*df.columns).alias("__row"),
+        F.struct(*kept).alias("__row"),
         F.col(key).alias("__key"),
-        F.col(row_id).alias("__id"),
+        "__id",
         micros(ts).alias("__us"),
         *[F.col(c).cast(exact).alias(f"__m_{c}") for c in columns],
     )
@@ -160,21 +173,20 @@ def _trailing_hot(df, key, ts, row_id, measures, include_current, bucket_seconds
             for s in spans
         ],
     )
-    real = F.col("kind") == 0
+    data = F.col("__e.kind") == 0
     exploded = base.withColumn("__e", F.explode(events)).select(
-        F.when(F.col("__e.kind") == 0, F.col("__row")).alias("__row"),
+        F.when(data, F.col("__row")).alias("__row"),
         "__key",
         "__id",
         F.col("__e.kind").alias("kind"),
         F.col("__e.at").alias("at"),
         F.floor(F.col("__e.at") / bucket).alias("__b"),
-        F.when(F.col("__e.kind") == 0, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n"),
-        *[
-            F.when(F.col("__e.kind") == 0, F.col(f"__m_{c}")).cast(exact).alias(f"s_{c}")
-            for c in columns
-        ],
+        F.when(data, F.lit(1)).otherwise(F.lit(0)).cast("long").alias("n"),
+        *[F.when(data, F.col(f"__m_{c}")).cast(exact).alias(f"s_{c}") for c in columns],
+        *[F.when(data & F.col(f"__m_{c}").isNotNull(), 1).otherwise(0).cast("long").alias(f"k_{c}") for c in columns],
     )
-    values = ["n"] + [f"s_{c}" for c in columns]
+    real = F.col("kind") == 0
+    values = ["n"] + [f"{p}_{c}" for c in columns for p in ("s", "k")]
     totals = exploded.groupBy("__key", "__b").agg(*[F.sum(v).alias(v) for v in values])
     before = Window.partitionBy("__key").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     prefix = totals.select(
@@ -207,17 +219,15 @@ def _trailing_hot(df, key, ts, row_id, measures, include_current, bucket_seconds
                 )
             )
     gathered = joined.groupBy("__id").agg(*aggregates)
-    out = [F.col(f"__row.{c}").alias(c) for c in df.columns]
+    out = [F.col(f"__row.{c}").alias(c) for c in kept]
     for name, (span, kind, column) in measures.items():
-        count = F.col("v_0_n") - F.col(f"v_{span}_n")
         if kind == "count":
-            out.append(count.cast("long").alias(name))
+            out.append((F.col("v_0_n") - F.col(f"v_{span}_n")).cast("long").alias(name))
             continue
         total = (F.col(f"v_0_s_{column}") - F.col(f"v_{span}_s_{column}")).cast("double")
-        if kind == "sum":
-            out.append(F.coalesce(total, F.lit(0.0)).alias(name))
-        else:
-            out.append(F.when(count > 0, total / count).otherwise(F.lit(0.0)).alias(name))
+        count = F.col(f"v_0_k_{column}") - F.col(f"v_{span}_k_{column}")
+        value = total if kind == "sum" else F.when(count > 0, total / count)
+        out.append(F.coalesce(value, F.lit(0.0)).alias(name))
     return gathered.select(*out)
 
 

@@ -49,7 +49,6 @@ def test_trailing_stats_matches_brute_force(spark, hot, include_current):
                 df,
                 "account_id",
                 "ts",
-                "transaction_id",
                 {"n": (span, "count", None), "s": (span, "sum", "amount"), "m": (span, "avg", "amount")},
                 include_current,
             ).collect()
@@ -61,6 +60,30 @@ def test_trailing_stats_matches_brute_force(spark, hot, include_current):
         spark.conf.unset("spark.ledgerscope.hotRows")
 
 
+@pytest.mark.parametrize("include_current", [False, True])
+def test_both_routes_keep_odd_rows(spark, include_current):
+    t = dt.datetime(2024, 1, 1, 10, 0)
+    m = dt.timedelta(minutes=1)
+    rows = [(1, "a", t, 10.0), (1, "a", t, 10.0), (1, "a", t + m, None), (2, "a", None, 5.0), (2, "a", None, None)]
+    rows += [(None, "a", t + 2 * m, 4.0), (3, None, t, 1.0), (3, None, t, 2.0), (4, None, t + m, None), (5, None, None, 9.0), (6, "b", t, None)]
+    df = spark.createDataFrame(rows, "transaction_id long, account_id string, ts timestamp, amount double")
+    found = []
+    for hot in ("2", "1000000"):
+        spark.conf.set("spark.ledgerscope.hotRows", hot)
+        try:
+            got = trailing_stats(
+                df, "account_id", "ts",
+                {"n": (3_600, "count", None), "s": (3_600, "sum", "amount"), "m": (3_600, "avg", "amount")},
+                include_current,
+            )
+            found.append(sorted(map(repr, got.collect())))
+        finally:
+            spark.conf.unset("spark.ledgerscope.hotRows")
+    assert len(found[0]) == len(rows) and found[0] == found[1]
+    last = next(r for r in got.collect() if r["transaction_id"] is None)
+    assert (last["n"], last["s"], last["m"]) == ((4, 24.0, 8.0) if include_current else (3, 20.0, 10.0))
+
+
 def test_split_hot_keeps_every_row(spark, tiny_hot):
     df = spark.createDataFrame([(1, "x")] * 5 + [(2, "y")] * 2 + [(3, None)] * 6, "i int, k string")
     cold, hot = split_hot(df, ["k"])
