@@ -91,7 +91,16 @@ def fraud_accounts(alerts: DataFrame, txn: DataFrame, rule: str = "action") -> D
 def clean_accounts(accounts: DataFrame, fraud: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """``n`` accounts outside the fraud set, drawn by a seeded hash of the id."""
     rest = accounts.select(F.col("id").alias("account_id")).join(fraud, "account_id", "left_anti")
-    return rest.orderBy(F.xxhash64("account_id", F.lit(seed)), "account_id").limit(n)
+    hashed = rest.withColumn("__h", F.xxhash64("account_id", F.lit(seed))).withColumn("__b", F.shiftright("__h", 48))
+    # The order of the hash by its highest bits: at most 2^16 counts, then one bucket is ranked.
+    counts = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    taken = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).filter(F.col("__before") < n)
+    placed = hashed.join(F.broadcast(taken), "__b")
+    whole = placed.filter(F.col("__before") + F.col("__n") <= n)
+    nth = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "account_id"))
+    last = placed.filter(F.col("__before") + F.col("__n") > n).withColumn("__nth", nth).filter(F.col("__before") + F.col("__nth") <= n)
+    return whole.select("account_id").unionByName(last.select("account_id"))
 
 
 def legit_training_accounts(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,14 +79,19 @@ def clustering_coefficient(graph: DataFrame) -> DataFrame:
     )
 
 
-def hops_to_fraud(graph: DataFrame, seeds: DataFrame, max_hops: int = 10) -> DataFrame:
-    """Fewest transfers, in either direction, between an account and a known-fraud account."""
+def hops_to_fraud(graph: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """Fewest transfers, in either direction, between an account and a known-fraud account.
+
+    Runs until no account is new; ``max_hops`` leaves farther accounts out on request.
+    """
     links = cut_lineage(both_ways(undirected(graph)).select("src", "dst"))
     nodes = node_ids(graph)
     start = seeds.select(F.col("account_id").alias("id")).distinct().join(nodes, "id", "left_semi")
     reached = cut_lineage(start.withColumn("hops", F.lit(0)))
     frontier = reached.select("id")
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
+        if max_hops is not None and hop > max_hops:
+            break
         following = (
             frontier.join(links, frontier["id"] == links["src"])
             .select(F.col("dst").alias("id"))

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from ledgerscope.operators.graph.basic import both_ways, undirected
 from ledgerscope.scale import cut_lineage
 
-# Word2Vec keeps its vocabulary on the driver; larger graphs use projections.
-WORD2VEC_MAX_NODES = 2_000_000
-
 
 def _draw_table(links: DataFrame, parts: int = 64) -> DataFrame:
     """Neighbour lookup for weighted draws: ``(id, slot, lo, hi, nbr, deg)``.
@@ -107,19 +104,24 @@ def walk_embeddings(
     walks: int = 10,
     window: int = 5,
     seed: int = 42,
-    method: str = "auto",
+    method: str = "projection",
 ) -> DataFrame:
-    """Embedding of every account with a neighbour; empty for fewer than ten accounts."""
+    """Embedding of every account with a neighbour; empty for fewer than ten accounts.
+
+    The projection of window neighbours is distributed at every size.  ``"word2vec"``
+    asks for Spark's skip-gram instead, which trains in one task and keeps its
+    vocabulary on the driver.
+    """
     paths = cut_lineage(random_walks(graph, length, walks, seed))
     nodes = paths.select("start").distinct().count()
     if nodes < 10:
         return paths.select(
             F.col("start").alias("account_id"), F.array().cast("array<float>").alias("embedding")
         ).limit(0)
-    if method == "auto":
-        method = "word2vec" if nodes <= WORD2VEC_MAX_NODES else "projection"
     if method == "projection":
         return _projection(paths, dim, window, seed)
+    if method != "word2vec":
+        raise ValueError("method must be 'projection' or 'word2vec'")
     sentences = paths.select(F.transform("path", lambda n: n.cast("string")).alias("path"))
     # A fixed order of the sentences keeps the training run repeatable.
     sentences = sentences.orderBy(F.xxhash64("path"))

@@ -29,10 +29,27 @@ def _sum_if(test: Column, value: str = "amount") -> Column:
     return F.coalesce(F.sum(F.when(test, F.col(value))), F.lit(0.0))
 
 
+def _recent(txn: DataFrame, as_of: Column, text: str, ts: str = "ts") -> DataFrame:
+    """Rows of the window only; bounds of the column's own type reach the scan."""
+    kind = txn.schema[ts].dataType
+    start, end = (as_of - F.expr(f"INTERVAL {text}")).cast(kind), as_of.cast(kind)
+    return txn.filter((F.col(ts) > start) & (F.col(ts) <= end))
+
+
+def _all_accounts(txn: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` for every sender; zero where the window has none of its rows."""
+    every = txn.select(F.col("account_id").alias("__every")).distinct()
+    joined = every.join(found, every["__every"].eqNullSafe(found["account_id"]), "left")
+    return joined.select(
+        F.col("__every").alias("account_id"),
+        *[F.coalesce(c, F.lit(0).cast(kind)).alias(c) for c, kind in found.dtypes if c != "account_id"],
+    )
+
+
 def velocity(txn: DataFrame, as_of: Column) -> DataFrame:
     """Counts, volumes and distinct payees of each sender in the windows before ``as_of``."""
     hour, day, week = (_since(as_of, w) for w in ("1 HOUR", "24 HOURS", "7 DAYS"))
-    return txn.groupBy("account_id").agg(
+    found = _recent(txn, as_of, "7 DAYS").groupBy("account_id").agg(
         _count_if(hour).cast("double").alias("txn_count_last_1h"),
         _count_if(day).cast("double").alias("txn_count_last_24h"),
         _count_if(week).cast("double").alias("txn_count_last_7d"),
@@ -40,15 +57,17 @@ def velocity(txn: DataFrame, as_of: Column) -> DataFrame:
         _sum_if(day).alias("txn_volume_last_24h"),
         F.countDistinct(F.when(day, F.col("payee_account_id"))).cast("double").alias("distinct_payees_24h"),
     )
+    return _all_accounts(txn, found)
 
 
 def account_means(txn: DataFrame, as_of: Column) -> DataFrame:
-    return txn.groupBy("account_id").agg(
+    found = _recent(txn, as_of, "30 DAYS").groupBy("account_id").agg(
         F.coalesce(F.avg(F.when(_since(as_of, "30 DAYS"), F.col("amount"))), F.lit(0.0)).alias(
             "avg_amount_30d"
         ),
         _count_if(_since(as_of, "24 HOURS")).alias("daily_txn_count"),
     )
+    return _all_accounts(txn, found)
 
 
 def festival_history(txn: DataFrame, as_of: Column) -> DataFrame:
@@ -159,9 +178,6 @@ def account_profile(rows: DataFrame) -> DataFrame:
         F.stddev_samp("amount").alias("std_amount"),
         _sum_if(F.col("direction") == "out").alias("total_out"),
         _sum_if(F.col("direction") == "in").alias("total_in"),
-        F.countDistinct("location").alias("n_locations"),
-        F.countDistinct("device_id").alias("n_devices"),
-        F.countDistinct("merchant_id").alias("n_merchants"),
         (_count_if(night) / F.count(F.lit(1))).alias("night_txn_ratio"),
         (_count_if(weekend) / F.count(F.lit(1))).alias("weekend_txn_ratio"),
     ]
@@ -170,6 +186,15 @@ def account_profile(rows: DataFrame) -> DataFrame:
     if "login_attempts" in rows.columns:
         aggregates.append(F.max("login_attempts").alias("max_login_attempts"))
     out = rows.groupBy("account_id").agg(*aggregates)
+    # Distinct pairs first: each shuffled row is one account and value, whatever it occurs.
+    places = {"location": "n_locations", "device_id": "n_devices", "merchant_id": "n_merchants"}
+    values = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in places])
+    pairs = rows.select(F.col("account_id").alias("__a"), F.explode(values).alias("v")).select("__a", "v.*")
+    distinct = pairs.filter("value IS NOT NULL").distinct().groupBy("__a").agg(
+        *[_count_if(F.col("kind") == c).alias(name) for c, name in places.items()]
+    )
+    out = out.join(distinct, out["account_id"].eqNullSafe(distinct["__a"]), "left").drop("__a")
+    out = out.withColumns({name: F.coalesce(name, F.lit(0).cast("long")) for name in places.values()})
     out = (
         out.withColumn(
             "return_ratio", F.col("total_in") / (F.col("total_out") + F.col("total_in") + 1e-6)
@@ -239,10 +264,10 @@ def account_activity(txn: DataFrame, as_of: Column) -> DataFrame:
 
 def burst_and_velocity_ratio(txn: DataFrame, as_of: Column) -> DataFrame:
     """Hourly rate of the last 6 hours over that of the last 4 weeks."""
-    counted = txn.groupBy("account_id").agg(
-        _count_if(_since(as_of, "6 HOURS")).alias("__recent"),
-        _count_if(_since(as_of, "28 DAYS")).alias("__base"),
+    found = _recent(txn, as_of, "28 DAYS").groupBy("account_id").agg(
+        _count_if(_since(as_of, "6 HOURS")).alias("__recent"), F.count(F.lit(1)).alias("__base")
     )
+    counted = _all_accounts(txn, found)
     rate = (F.col("__recent") / 6.0) / F.greatest(F.col("__base") / (28.0 * 24.0), F.lit(0.01))
     return counted.select(
         "account_id",

@@ -41,8 +41,8 @@ def recent_shadow(shadow: DataFrame, n: int) -> DataFrame:
 
 def recently_active(edges: DataFrame, as_of: Column, minutes: int = 60) -> DataFrame:
     """Senders and receivers of the last ``minutes``."""
-    start = as_of - F.expr(f"INTERVAL {minutes} MINUTES")
-    return touched_accounts(edges.filter(F.col("ts").cast("timestamp") > start))
+    start = (as_of - F.expr(f"INTERVAL {minutes} MINUTES")).cast(edges.schema["ts"].dataType)
+    return touched_accounts(edges.filter(F.col("ts") > start))
 
 
 def touched_accounts(edges: DataFrame) -> DataFrame:

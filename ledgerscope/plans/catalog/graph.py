@@ -281,12 +281,12 @@ def _(spark, d):
 
 @q("g13_walk_embeddings")
 def _(spark, d):
-    return walk_embeddings(graph(spark, d), walks=4, length=12)
+    return walk_embeddings(graph(spark, d))
 
 
 @q("g13_walk_projection")
 def _(spark, d):
-    return walk_embeddings(graph(spark, d), walks=4, length=12, method="projection")
+    return walk_embeddings(graph(spark, d), window=2, method="projection")
 
 
 @q(

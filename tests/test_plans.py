@@ -43,5 +43,6 @@ def test_latest_rows_are_limited_before_the_shuffle(spark):
     assert _plan(spark, "w4_latest_n").count("WindowGroupLimit") >= 1
 
 
-def test_time_filter_reaches_the_scan(spark):
-    assert re.search(r"PushedFilters: \[[^\]]*ts", _plan(spark, "u1_recently_active"))
+@pytest.mark.parametrize("name", ["u1_recently_active", "a1_velocity", "a2_account_means", "a13_burst_ratio"])
+def test_time_filter_reaches_the_scan(spark, name):
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThan\(ts,", _plan(spark, name))
