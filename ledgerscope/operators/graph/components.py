@@ -98,6 +98,37 @@ def cycle_membership(graph: DataFrame) -> DataFrame:
     )
 
 
+def chain_heads(edges: DataFrame, chains: DataFrame, key: str = "graph_id", deeper: int = 3, n: int = 6) -> DataFrame:
+    """The first ``n`` accounts of one longest path of each acyclic graph deeper than ``deeper``.
+
+    Of equally long continuations the smallest account is taken.  Nodes are peeled from
+    the ends of the paths; the round a node still sends in is the longest path from it.
+    """
+    deep = cut_lineage(chains.filter(F.col("depth") > deeper).select(key, "depth"))
+    links = cut_lineage(edges.join(deep.select(key), key, "left_semi").select(key, "src", "dst").distinct())
+    heights, remaining, level = None, links, 0
+    while remaining.take(1):
+        level += 1
+        senders = remaining.select(key, F.col("src").alias("node")).distinct()
+        marked = senders.withColumn("height", F.lit(level))
+        heights = marked if heights is None else heights.unionByName(marked)
+        remaining = cut_lineage(remaining.join(senders.withColumnRenamed("node", "dst"), [key, "dst"], "left_semi"))
+    if heights is None:
+        return links.select(key, F.col("src").alias("account_id"))
+    height = cut_lineage(heights.groupBy(key, "node").agg(F.max("height").alias("height")))
+    tip = height.join(deep, key).filter("height = depth").groupBy(key).agg(F.min("node").alias("src"), F.first("height").alias("h"))
+    # One step of a longest path: the height falls by one.
+    falls = links.join(height.select(key, F.col("node").alias("dst"), "height"), [key, "dst"], "left").select(
+        key, "src", "dst", F.coalesce("height", F.lit(0)).alias("rest")
+    )
+    found = tip.select(key, F.col("src").alias("account_id"))
+    for _ in range(n - 1):
+        after = tip.join(falls, [key, "src"]).filter(F.col("rest") == F.col("h") - 1)
+        tip = cut_lineage(after.groupBy(key).agg(F.min("dst").alias("src"), F.first("rest").alias("h")))
+        found = found.unionByName(tip.select(key, F.col("src").alias("account_id")))
+    return found
+
+
 def longest_chain(edges: DataFrame, key: str = "graph_id") -> DataFrame:
     """Longest directed path of each graph in links, and whether the graph has a cycle.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerscope.functions.rules import near_threshold_pct, score_to_action
 from ledgerscope.operators.context import burst_window
-from ledgerscope.operators.graph.components import longest_chain, strong_components
+from ledgerscope.operators.graph.components import chain_heads, longest_chain, strong_components
 from ledgerscope.scale import cut_lineage, micros, top_per_key
 
 
@@ -159,7 +159,8 @@ def flagged_accounts(edges: DataFrame) -> DataFrame:
     """Accounts each graph's gates point at: ``(graph_id, account_id, reason)``.
 
     Cycle members; fan-out and fan-in centres with their first six partners;
-    relays with four partners on each side; ends of structured amounts.
+    relays with four partners on each side; the first six accounts of a longest
+    chain; ends of structured amounts, or else of amounts that repeat.
     """
     rows = cut_lineage(_usable(edges))
     pairs = cut_lineage(_pairs(rows))
@@ -199,6 +200,13 @@ def flagged_accounts(edges: DataFrame) -> DataFrame:
     parts.append(
         ends.select("graph_id", F.explode(F.array("src", "dst")).alias("account_id"), F.lit("structuring").alias("reason"))
     )
+    parts.append(chain_heads(pairs, longest_chain(pairs)).withColumn("reason", F.lit("layering_chain")))
+    same = rows.withColumn("__a", F.bround("amount", 2)).filter(F.col("__a") > 1_000)
+    often = same.groupBy("graph_id", "__a").agg(F.count(F.lit(1)).alias("n")).filter("n >= 3").select("graph_id", "__a")
+    repeats = same.join(often, ["graph_id", "__a"], "left_semi").join(enough, "graph_id", "left_anti")
+    parts.append(
+        repeats.select("graph_id", F.explode(F.array("src", "dst")).alias("account_id"), F.lit("repeated_amount").alias("reason"))
+    )
     return reduce(DataFrame.unionByName, parts).distinct()
 
 

@@ -235,27 +235,27 @@ def _(spark, d):
 @q(
     "g11_hops_to_fraud",
     with_views(
-        "big_edges seeds",
-        """, lk AS (SELECT src, dst FROM big_edges UNION SELECT dst, src FROM big_edges),
+        "edges seeds",
+        """, lk AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
         bfs AS (SELECT account_id AS id, 0 AS hops FROM seeds WHERE account_id IN (SELECT src FROM lk)
-          UNION SELECT lk.dst, b.hops + 1 FROM bfs b JOIN lk ON b.id = lk.src WHERE b.hops < 10)
+          UNION SELECT lk.dst, b.hops + 1 FROM bfs b JOIN lk ON b.id = lk.src WHERE b.hops < 50)
         SELECT id AS account_id, CAST(min(hops) AS INTEGER) AS hops FROM bfs GROUP BY id""",
         recursive=True,
     ),
 )
 def _(spark, d):
-    g = B.simple_graph(V.big_edges(spark, d))
-    return B.hops_to_fraud(g, V.seeds(spark, d), max_hops=10)
+    g = B.simple_graph(V.edges(spark, d))
+    return B.hops_to_fraud(g, V.seeds(spark, d))
 
 
-_CLOSURE_SQL = """, lk AS MATERIALIZED (SELECT DISTINCT src, dst FROM big_edges WHERE src <> dst),
+_CLOSURE_SQL = """, lk AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
   rc AS (SELECT src AS a, dst AS b FROM lk UNION SELECT rc.a, lk.dst FROM rc JOIN lk ON rc.b = lk.src)"""
 
 
 @q(
     "g12_cycle_membership",
     with_views(
-        "big_edges",
+        "edges",
         _CLOSURE_SQL
         + """ SELECT id AS account_id, CASE WHEN EXISTS (SELECT 1 FROM rc WHERE a = id AND b = id) THEN 1.0::DOUBLE ELSE 0.0 END AS cycle_membership
         FROM (SELECT src AS id FROM lk UNION SELECT dst FROM lk)""",
@@ -263,20 +263,20 @@ _CLOSURE_SQL = """, lk AS MATERIALIZED (SELECT DISTINCT src, dst FROM big_edges
     ),
 )
 def _(spark, d):
-    return S.cycle_membership(B.simple_graph(V.big_edges(spark, d)))
+    return S.cycle_membership(B.simple_graph(V.edges(spark, d)))
 
 
 @q(
     "g12_strong_components",
     with_views(
-        "big_edges",
+        "edges",
         _CLOSURE_SQL
         + """ SELECT x.a AS account_id, max(x.b) AS component FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
         recursive=True,
     ),
 )
 def _(spark, d):
-    return S.strong_components(B.simple_graph(V.big_edges(spark, d)))
+    return S.strong_components(B.simple_graph(V.edges(spark, d)))
 
 
 @q("g13_walk_embeddings")
@@ -304,14 +304,14 @@ def _(spark, d):
     return B.hyperedges(membership)
 
 
-# One graph per day of the large transfers.
-def daily_graphs(spark, d):
-    return V.edges(spark, d).filter(F.col("amount") >= 80_000).select(
-        F.dayofmonth("ts").alias("graph_id"), "src", "dst", "amount", "ts", "transaction_id"
+# One graph per three hours: some have cycles, some chains.
+def short_graphs(spark, d):
+    return V.edges(spark, d).select(
+        (F.dayofmonth("ts") * 100 + F.expr("hour(ts) div 3").cast("int")).alias("graph_id"), "src", "dst", "amount", "ts", "transaction_id"
     )
 
 
-GRAPHS_SQL = """, ge AS MATERIALIZED (SELECT CAST(day(ts) AS INTEGER) AS graph_id, src, dst, amount, ts, transaction_id FROM edges WHERE amount >= 80000),
+GRAPHS_SQL = """, ge AS MATERIALIZED (SELECT CAST(day(ts) * 100 + hour(ts) // 3 AS INTEGER) AS graph_id, src, dst, amount, ts, transaction_id FROM edges),
   gp AS MATERIALIZED (SELECT graph_id, src, dst, arg_max(amount, ts) AS amount FROM ge GROUP BY ALL),
   gr AS (SELECT graph_id, src AS a, dst AS b FROM gp UNION SELECT gr.graph_id, gr.a, gp.dst FROM gr JOIN gp ON gr.graph_id = gp.graph_id AND gr.b = gp.src),
   gc AS MATERIALIZED (SELECT g.graph_id, EXISTS (SELECT 1 FROM gr WHERE gr.graph_id = g.graph_id AND gr.a = gr.b) AS cyclic FROM (SELECT DISTINCT graph_id FROM gp) g),
@@ -325,7 +325,7 @@ GRAPHS_SQL = """, ge AS MATERIALIZED (SELECT CAST(day(ts) AS INTEGER) AS graph_i
     with_views("edges", GRAPHS_SQL + " SELECT graph_id, cyclic, cyclic AS not_acyclic, CAST(depth AS DOUBLE) AS depth FROM gd", recursive=True),
 )
 def _(spark, d):
-    chains = S.longest_chain(daily_graphs(spark, d))
+    chains = S.longest_chain(short_graphs(spark, d))
     return chains.withColumn("depth", F.col("depth").cast("double"))
 
 
@@ -370,7 +370,7 @@ SNAPSHOT_SQL = (
     ),
 )
 def _(spark, d):
-    return score_graphs(daily_graphs(spark, d)).withColumn("signals", F.concat_ws(",", "signals"))
+    return score_graphs(short_graphs(spark, d)).withColumn("signals", F.concat_ws(",", "signals"))
 
 
 @q(
@@ -383,15 +383,26 @@ def _(spark, d):
         ro AS (SELECT graph_id, src, dst, row_number() OVER (PARTITION BY graph_id, src ORDER BY dst) AS rn FROM gp),
         ri AS (SELECT graph_id, src, dst, row_number() OVER (PARTITION BY graph_id, dst ORDER BY src) AS rn FROM gp),
         ne AS (SELECT * FROM ge WHERE (amount >= 47500 AND amount < 50000) OR (amount >= 95000 AND amount < 100000) OR (amount >= 950000 AND amount < 1000000)),
-        ns AS (SELECT graph_id FROM ne GROUP BY 1 HAVING count(*) >= 2)
+        ns AS (SELECT graph_id FROM ne GROUP BY 1 HAVING count(*) >= 2),
+        rp AS (SELECT graph_id, round(amount, 2) AS a FROM ge GROUP BY ALL HAVING count(*) >= 3 AND a > 1000),
+        ht AS (SELECT p.graph_id, p.src AS node, 1 AS h FROM gp p JOIN gd USING (graph_id) WHERE depth > 3
+          UNION SELECT p.graph_id, p.src, ht.h + 1 FROM ht JOIN gp p ON p.graph_id = ht.graph_id AND p.dst = ht.node),
+        hh AS MATERIALIZED (SELECT graph_id, node, max(h) AS h FROM ht GROUP BY ALL),
+        nx AS MATERIALIZED (SELECT p.graph_id, p.src, hh.h, min(p.dst) AS dst FROM gp p JOIN hh ON p.graph_id = hh.graph_id AND p.src = hh.node
+          LEFT JOIN hh d ON p.graph_id = d.graph_id AND p.dst = d.node WHERE coalesce(d.h, 0) = hh.h - 1 GROUP BY ALL),
+        ch AS (SELECT graph_id, min(node) AS node, 1 AS step FROM hh JOIN gd USING (graph_id) WHERE hh.h = gd.depth GROUP BY graph_id
+          UNION ALL SELECT nx.graph_id, nx.dst, step + 1 FROM ch JOIN nx ON ch.graph_id = nx.graph_id AND ch.node = nx.src WHERE step < 6)
         SELECT graph_id, a AS account_id, 'circular_path' AS reason FROM gr WHERE a = b
         UNION SELECT graph_id, c, 'fan_out' FROM fo UNION SELECT ro.graph_id, ro.dst, 'fan_out' FROM ro JOIN fo ON ro.graph_id = fo.graph_id AND ro.src = fo.c WHERE rn <= 6
         UNION SELECT graph_id, c, 'fan_in' FROM fi UNION SELECT ri.graph_id, ri.src, 'fan_in' FROM ri JOIN fi ON ri.graph_id = fi.graph_id AND ri.dst = fi.c WHERE rn <= 6
         UNION SELECT graph_id, c, 'relay' FROM rl UNION SELECT ro.graph_id, ro.dst, 'relay' FROM ro JOIN rl ON ro.graph_id = rl.graph_id AND ro.src = rl.c WHERE rn <= 4
         UNION SELECT ri.graph_id, ri.src, 'relay' FROM ri JOIN rl ON ri.graph_id = rl.graph_id AND ri.dst = rl.c WHERE rn <= 4
-        UNION SELECT ne.graph_id, unnest([src, dst]), 'structuring' FROM ne JOIN ns USING (graph_id)""",
+        UNION SELECT ne.graph_id, unnest([src, dst]), 'structuring' FROM ne JOIN ns USING (graph_id)
+        UNION SELECT graph_id, node, 'layering_chain' FROM ch
+        UNION SELECT e.graph_id, unnest([src, dst]), 'repeated_amount' FROM ge e JOIN rp ON e.graph_id = rp.graph_id AND round(e.amount, 2) = rp.a
+          WHERE e.graph_id NOT IN (SELECT graph_id FROM ns)""",
         recursive=True,
     ),
 )
 def _(spark, d):
-    return flagged_accounts(daily_graphs(spark, d))
+    return flagged_accounts(short_graphs(spark, d))

@@ -13,7 +13,7 @@ from ledgerscope.operators.graph import paths as H
 from ledgerscope.operators.graph.betweenness import betweenness
 from ledgerscope.operators.graph.community import communities, label_propagation, modularity
 from ledgerscope.operators.graph.pagerank import personalized_pagerank
-from ledgerscope.operators.graph.snapshot import score_graphs
+from ledgerscope.operators.graph.snapshot import flagged_accounts, score_graphs
 from ledgerscope.operators.graph.walks import random_walks, walk_embeddings
 
 T0 = dt.datetime(2024, 1, 1)
@@ -224,6 +224,16 @@ def test_trails_are_the_longest_whatever_the_beam(frame, direction, beam):
     assert {k: sorted(v) for k, v in got.items()} == expected
 
 
+def test_chain_and_repeat_accounts_are_flagged(frame):
+    schema = "graph_id string, src string, dst string, amount double, ts timestamp, transaction_id long"
+    line = [("line", f"n{i}", f"n{i + 1}", 10.0 + i) for i in range(7)] + [("line", "n0", "n2", 3.0), ("line", "a", "n1", 4.0)]
+    same = [("same", "a", "b", 2_000.004), ("same", "c", "b", 2_000.0), ("same", "d", "e", 2_000.0), ("same", "f", "g", 5.0)]
+    rows = [(*r, T0 + i * M * 60, i) for i, r in enumerate(line + same)]
+    got = {(r["graph_id"], r["reason"], r["account_id"]) for r in flagged_accounts(frame(rows, schema)).collect()}
+    assert {a for g, why, a in got if why == "layering_chain"} == {"a", "n1", "n2", "n3", "n4", "n5"}
+    assert {a for g, why, a in got if why == "repeated_amount"} == {"a", "b", "c", "d", "e"}
+
+
 def test_longest_chain(frame):
     rows = [("line", "a", "b"), ("line", "b", "c"), ("line", "a", "c"), ("line", "c", "d"), ("ring", "a", "b"), ("ring", "b", "a"), ("ring", "z", "a"), ("loop", "a", "a"), ("loop", "a", "b"), ("one", "p", "q")]
     got = {r["graph_id"]: (r["cyclic"], r["not_acyclic"], r["depth"]) for r in S.longest_chain(frame(rows, "graph_id string, src string, dst string")).collect()}
