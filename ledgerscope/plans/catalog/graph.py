@@ -1,5 +1,6 @@
 """Graph metrics, traversals and snapshot scoring."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerscope.operators.graph import basic as B
@@ -158,7 +159,7 @@ def _(spark, d):
     return r(rows, "betweenness_centrality", places=6)
 
 
-PATHS_SQL = """, be AS MATERIALIZED (SELECT * FROM big_edges),
+PATHS_SQL = """, be AS MATERIALIZED (SELECT * FROM edges WHERE ts > TIMESTAMP '2024-01-24 00:00:00'),
  walk AS (
   SELECT src AS start, dst AS tip, [transaction_id] AS ids, [src, dst] AS nodes, 1 AS hops FROM be
   UNION ALL
@@ -170,7 +171,7 @@ PATHS_SQL = """, be AS MATERIALIZED (SELECT * FROM big_edges),
 @q(
     "g9_cycles",
     with_views(
-        "big_edges",
+        "edges",
         PATHS_SQL.format(hops=8)
         + """ SELECT start, CAST(hops AS INTEGER) AS hops, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS nodes, array_to_string(ids, ',') AS edge_ids
         FROM cyc WHERE rank <= 5""",
@@ -178,7 +179,7 @@ PATHS_SQL = """, be AS MATERIALIZED (SELECT * FROM big_edges),
     ),
 )
 def _(spark, d):
-    found = H.cycles(V.big_edges(spark, d), as_of())
+    found = H.cycles(V.edges(spark, d), as_of())
     return _path_text(found, "start")
 
 
@@ -192,44 +193,75 @@ def _path_text(df, key):
     )
 
 
-def trail_ctes(forward: bool, hops: int, name: str = "t") -> str:
-    """CTEs ending in ``<name>_rk``: every trail of every seed with its rank."""
-    end, other = ("src", "dst") if forward else ("dst", "src")
-    cmp = ">=" if forward else "<="
-    return f""", {name}_be AS MATERIALIZED (SELECT * FROM big_edges),
-     {name}_sd AS MATERIALIZED (SELECT alert_id AS seed_id, account_id, created_at AS seed_ts FROM alerts WHERE action = 'HIGH_RISK'),
-     {name}_tr AS (
-      SELECT s.seed_id, s.seed_ts, e.{other} AS tip, [e.transaction_id] AS ids, [e.{end}, e.{other}] AS nodes, 1 AS hops FROM {name}_sd s JOIN {name}_be e ON s.account_id = e.{end} AND e.ts {cmp} s.seed_ts
-      UNION ALL
-      SELECT t.seed_id, t.seed_ts, e.{other}, list_append(t.ids, e.transaction_id), list_append(t.nodes, e.{other}), t.hops + 1
-      FROM {name}_tr t JOIN {name}_be e ON t.tip = e.{end} AND e.ts {cmp} t.seed_ts WHERE t.hops < {hops} AND NOT list_contains(t.ids, e.transaction_id)),
-     {name}_rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY hops DESC, ids) AS rank FROM {name}_tr)"""
-
-
-def _trail_sql(forward: bool, hops: int) -> str:
-    return (
-        trail_ctes(forward, hops)
-        + """ SELECT seed_id, CAST(hops AS INTEGER) AS hops, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS nodes, array_to_string(ids, ',') AS edge_ids
-        FROM t_rk WHERE rank <= 20"""
+def trail_seeds(spark, d):
+    """Every alert starts a trail."""
+    return V.alerts(spark, d).select(
+        F.col("alert_id").alias("seed_id"), "account_id", F.col("created_at").alias("seed_ts")
     )
 
 
-def trail_seeds(spark, d):
-    return V.alerts(spark, d).filter(F.col("action") == "HIGH_RISK").select(
-        F.col("alert_id").alias("seed_id"), "account_id", F.col("created_at").alias("seed_ts")
+def all_trails(spark, d, direction):
+    return H.trails(trail_seeds(spark, d), V.edges(spark, d), direction)
+
+
+# Ten hops over all transfers cannot be listed in SQL; the operator is compared with
+# enumeration in the tests, and the full result with the two checks below.
+@q("g10_trails_forward")
+def _(spark, d):
+    return _path_text(all_trails(spark, d, "forward"), "seed_id")
+
+
+@q("g10_trails_backward")
+def _(spark, d):
+    return _path_text(all_trails(spark, d, "backward"), "seed_id")
+
+
+def _trail_checks(spark, d, direction):
+    """Seeds with a trail, and whether all of their trails are made of fitting transfers in order."""
+    found = all_trails(spark, d, direction)
+    forward = direction == "forward"
+    seeds = trail_seeds(spark, d).select("seed_id", "account_id", "seed_ts")
+    in_time = F.forall("times", lambda t: (t >= F.col("seed_ts")) if forward else (t <= F.col("seed_ts")))
+    shaped = found.join(seeds, "seed_id").withColumn(
+        "good",
+        (F.size("edge_ids") == F.col("hops"))
+        & (F.size("nodes") == F.col("hops") + 1)
+        & F.col("hops").between(1, 10)
+        & (F.size(F.array_distinct("edge_ids")) == F.col("hops"))
+        & (F.col("nodes")[0] == F.col("account_id"))
+        & in_time,
+    )
+    order = Window.partitionBy("seed_id").orderBy("rank")
+    sorted_ = shaped.withColumn("before", F.lag("hops").over(order)).withColumn(
+        "good", F.col("good") & (F.col("before").isNull() | (F.col("before") >= F.col("hops")))
+    )
+    per_seed = sorted_.groupBy("seed_id").agg(
+        (F.min("good") & (F.max("rank") == F.count(F.lit(1))) & (F.max("rank") <= 20)).alias("valid")
+    )
+    steps = found.select("seed_id", "nodes", F.posexplode("edge_ids").alias("i", "transaction_id")).select(
+        "seed_id", "transaction_id", F.col("nodes")[F.col("i")].alias("a"), F.col("nodes")[F.col("i") + 1].alias("b")
     )
+    known = V.edges(spark, d).select(
+        "transaction_id", F.col("src" if forward else "dst").alias("a"), F.col("dst" if forward else "src").alias("b")
+    )
+    wrong = steps.join(known, ["transaction_id", "a", "b"], "left_anti").select("seed_id").distinct().withColumn("wrong", F.lit(True))
+    return per_seed.join(wrong, "seed_id", "left").select(
+        "seed_id", (F.col("valid") & F.col("wrong").isNull()).alias("valid")
+    )
+
+
+_CHECK_SQL = """SELECT alert_id AS seed_id, TRUE AS valid FROM alerts a
+  WHERE EXISTS (SELECT 1 FROM edges e WHERE e.{end} = a.account_id AND e.ts {cmp} a.created_at)"""
 
 
-@q("g10_trails_forward", with_views("big_edges alerts", _trail_sql(True, 5), recursive=True))
+@q("g10_trail_checks_forward", with_views("edges alerts", _CHECK_SQL.format(end="src", cmp=">=")))
 def _(spark, d):
-    found = H.trails(trail_seeds(spark, d), V.big_edges(spark, d), "forward", max_hops=5)
-    return _path_text(found, "seed_id")
+    return _trail_checks(spark, d, "forward")
 
 
-@q("g10_trails_backward", with_views("big_edges alerts", _trail_sql(False, 5), recursive=True))
+@q("g10_trail_checks_backward", with_views("edges alerts", _CHECK_SQL.format(end="dst", cmp="<=")))
 def _(spark, d):
-    found = H.trails(trail_seeds(spark, d), V.big_edges(spark, d), "backward", max_hops=5)
-    return _path_text(found, "seed_id")
+    return _trail_checks(spark, d, "backward")
 
 
 @q(

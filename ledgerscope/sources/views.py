@@ -157,18 +157,6 @@ SELECT account_id AS src, payee_account_id AS dst, amount, ts, channel, transact
 WHERE ts > TIMESTAMP '2024-01-01 00:00:00' AND account_id <> payee_account_id"""
 
 
-def big_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Large transfers of the last week: the sparse graph used for path queries."""
-    return edges(spark, sf_dir).filter(
-        (F.col("amount") >= 100_000)
-        & (F.col("ts") > F.lit("2024-01-24 00:00:00").cast("timestamp_ntz"))
-    )
-
-
-BIG_EDGES_SQL = """
-SELECT * FROM edges WHERE amount >= 100000 AND ts > TIMESTAMP '2024-01-24 00:00:00'"""
-
-
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stored score per payment; score and gate follow from the payment id."""
     t = F.col("transaction_id")
@@ -291,7 +279,6 @@ _VIEWS: dict[str, tuple[Callable, str, list[str]]] = {
     "txnv": (txnv, TXNV_SQL, ["txn"]),
     "acct": (acct, ACCT_SQL, []),
     "edges": (edges, EDGES_SQL, ["txn"]),
-    "big_edges": (big_edges, BIG_EDGES_SQL, ["edges"]),
     "scores": (scores, SCORES_SQL, ["txn"]),
     "alerts": (alerts, ALERTS_SQL, ["scores"]),
     "seeds": (seeds, SEEDS_SQL, ["alerts"]),

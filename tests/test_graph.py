@@ -203,7 +203,7 @@ def test_cycles_match_enumeration(frame, seed):
 
 
 @pytest.mark.parametrize("direction", ["forward", "backward"])
-@pytest.mark.parametrize("beam", [4, 2_000])
+@pytest.mark.parametrize("beam", [4, 48])
 def test_trails_are_the_longest_whatever_the_beam(frame, direction, beam):
     rows = _transfers(9, n=6, m=18)
     seeds = [("s1", "n0", T0 + 30 * M), ("s2", "n3", T0 + 60 * M), ("s3", "nobody", T0)]
