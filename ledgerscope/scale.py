@@ -9,6 +9,7 @@ same on both routes; nothing is sampled, capped or dropped.
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
@@ -237,48 +238,53 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return ranked.filter(F.col("__rn") <= n).drop("__rn")
 
 
+# Rows of one range bucket: what one window task sorts.
+BUCKET_ROWS = 1_000_000
+LEAST_BUCKETS = 64
+
+
+def bucket_count(df: DataFrame, by: str | None) -> int:
+    """Range buckets for ``df``: by its rows, so that no bucket outgrows a task."""
+    most = (df.groupBy(by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return max(LEAST_BUCKETS, -(-most // BUCKET_ROWS))
+
+
 def split_points(df: DataFrame, column: str, by: str | None, buckets: int) -> dict[str, list[float]]:
     """Range boundaries of ``column`` per ``by`` value (or under ``"all"``).
 
     The result holds ``buckets`` numbers per ``by`` value; ``by`` is a list of
-    features, so its size does not grow with the rows.  Fixing the boundaries on
-    the driver keeps every later use of them identical.
+    features, so its size grows with rows / BUCKET_ROWS only.  Fixing the boundaries
+    on the driver keeps every later use of them identical.
     """
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets <= 1_000 else F.transform(
+        F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i / float(buckets)
+    )
     grouped = df.groupBy(F.col(by).cast("string").alias("__by") if by else F.lit("all").alias("__by"))
-    rows = grouped.agg(F.percentile_approx(column, probabilities, 2_000).alias("points")).collect()
+    rows = grouped.agg(F.percentile_approx(column, probabilities, max(2_000, 10 * buckets)).alias("points")).collect()
     return {r["__by"]: sorted({float(p) for p in (r["points"] or [])}) for r in rows}
 
 
-def _bucket_of(value: Column, points: list[float]) -> Column:
-    """Number of boundaries below ``value``: a binary search as nested conditions, compiled code."""
-
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value <= points[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+def _with_bucket(df: DataFrame, order: str, by: str | None, buckets: int | None) -> DataFrame:
+    """``__by`` and ``__bucket``: boundaries below the value, found in two levels.
 
-    return search(0, len(points))
-
-
-# Up to this many boundary lists are written into the plan as conditions.
-_INLINE_LISTS = 8
-
-
-def _with_bucket(df: DataFrame, order: str, by: str | None, buckets: int) -> DataFrame:
-    points = split_points(df, order, by, buckets)
+    The boundaries are cut into stretches of about the square root of their number; the
+    value is compared with the first of each stretch, then within one stretch.
+    """
+    points = split_points(df, order, by, buckets or bucket_count(df, by))
     value = F.col(order).cast("double")
     keyed = df.withColumn("__by", F.col(by).cast("string") if by else F.lit("all"))
-    if len(points) <= _INLINE_LISTS:
-        bucket = F.lit(0)
-        for name, cuts in points.items():
-            bucket = F.when(F.col("__by") == name, _bucket_of(value, cuts)).otherwise(bucket)
-        return keyed.withColumn("__bucket", bucket)
-    table = df.sparkSession.createDataFrame(list(points.items()), "__by string, __points array<double>")
-    # One row of ``buckets`` numbers per feature.
-    joined = keyed.join(F.broadcast(table), "__by")
-    return joined.withColumn("__bucket", F.size(F.filter("__points", lambda p: p < value))).drop("__points")
+    rows = []
+    for name, cuts in points.items():
+        width = max(1, math.isqrt(len(cuts)))
+        rows.append((name, [cuts[i : i + width] for i in range(0, len(cuts), width)], width))
+    table = df.sparkSession.createDataFrame(rows, "__by string, __parts array<array<double>>, __width int")
+    # Boundaries of one feature: rows / BUCKET_ROWS numbers.
+    joined = keyed.join(F.broadcast(table), keyed["__by"].eqNullSafe(table["__by"])).drop(table["__by"])
+    stretch = F.size(F.filter("__parts", lambda p: p[0] < value))
+    inside = F.size(F.filter(F.element_at("__parts", F.greatest(F.col("__s"), F.lit(1))), lambda p: p < value))
+    bucket = F.when((F.col("__s") == 0) | F.col("__s").isNull(), 0).otherwise((F.col("__s") - 1) * F.col("__width") + inside)
+    placed = joined.withColumn("__s", F.when(F.size("__parts") > 0, stretch).otherwise(0)).withColumn("__bucket", bucket)
+    return placed.drop("__parts", "__width", "__s")
 
 
 def prefix_sums(
@@ -287,7 +293,7 @@ def prefix_sums(
     values: Sequence[str],
     by: str | None = None,
     descending: bool = False,
-    buckets: int = 64,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Running sums of ``values`` along ``order`` (inclusive), without one global task.
 
@@ -296,7 +302,7 @@ def prefix_sums(
     return _running(df, order, values, by, descending, buckets, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
-def running_max(df: DataFrame, order: str, value: str, buckets: int = 64) -> DataFrame:
+def running_max(df: DataFrame, order: str, value: str, buckets: int | None = None) -> DataFrame:
     """Largest ``value`` so far along ``order`` (inclusive); adds ``cum_<value>``."""
     # greatest() skips nulls, so an empty start leaves the other side.
     return _running(df, order, [value], None, False, buckets, F.max, F.greatest)

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope import constants as C
 from ledgerscope.operators.evidence import make_alerts
 from ledgerscope.operators.novelty import escalation_events, route_discovery
 from ledgerscope.operators.profile import sides
 from ledgerscope.plans.scoring import score_payments
+from ledgerscope.scale import micros
 from ledgerscope.sources.sinks import audit_rows, patch_features
 from ledgerscope.sources.tables import rejection_reasons
 
@@ -56,17 +59,28 @@ def patch_latest_flows(flows: DataFrame, features: DataFrame) -> DataFrame:
     return patch_features(features, newest, ["inflow_1h", "outflow_1h"])
 
 
-def flow_patch_sink(read_features: Callable[[], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` sink: write a patched feature table per batch."""
+def flow_patch_sink(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` sink: the newest flows of the accounts of a batch, as a delta.
+
+    Features are not rewritten; :func:`patched_features` reads all deltas, so patches of
+    earlier batches last until the next nightly table.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        patched = patch_latest_flows(batch, read_features())
+        newest = batch.groupBy("account_id").agg(
+            F.max_by(F.struct("inflow_1h", "outflow_1h"), "end").alias("f"), F.max("end").alias("end")
+        )
         # The batch number names the output, so a repeated batch replaces itself.
-        patched.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest.select("account_id", "f.*", "end").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 
 
+def patched_features(features: DataFrame, path: str) -> DataFrame:
+    """Features with each account's newest flows of all batches written so far."""
+    return patch_latest_flows(features.sparkSession.read.parquet(path), features)
+
+
 def stream_dedupe(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     """First arrival of each payment id within the watermark."""
     return stream.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["transaction_id"])
@@ -133,8 +147,44 @@ def score_batch_sink(
         put(audit_rows(events, "SCORE", model_version, ["score", "action", "gate_fired"]), "audit")
         if discover is not None:
             cleared = stored.filter(F.col("action") == "PASS")
-            queue = route_discovery(discover(cleared), registry)
+            queue = continue_runs(route_discovery(discover(cleared), registry), f"{path}/fingerprint_runs", batch_id)
             put(queue, "novelty_queue")
-            put(escalation_events(queue), "escalations")
+            kept = batch.sparkSession.read.parquet(f"{path}/novelty_queue/batch={batch_id}")
+            put(escalation_events(kept), "escalations")
+            put(run_ends(kept), "fingerprint_runs")
 
     return write
+
+
+def run_ends(queue: DataFrame) -> DataFrame:
+    """Last hit of each fingerprint of a batch, and its place in its run."""
+    last = F.max(F.struct(F.col("created_at").alias("at"), F.col("fingerprint_occurrences").alias("hits"))).alias("l")
+    return queue.groupBy(F.col("novelty_fingerprint").alias("fingerprint")).agg(last).select("fingerprint", "l.at", "l.hits")
+
+
+def continue_runs(
+    queue: DataFrame, path: str, batch_id: int, gap_days: int = C.FINGERPRINT_GAP_DAYS, escalate_at: int = C.ESCALATION_OCCURRENCES
+) -> DataFrame:
+    """Occurrences counted on from earlier batches.
+
+    ``path`` has the last hit of each fingerprint per batch.  Hits of the batch's first
+    run, that is before its first gap, continue the stored run if it is near enough.  A
+    batch that is run again reads only the batches before it.
+    """
+    spark = queue.sparkSession
+    try:
+        stored = spark.read.parquet(path).filter(F.col("batch") < batch_id)
+    except AnalysisException:
+        return queue
+    newest = stored.groupBy(F.col("fingerprint").alias("novelty_fingerprint")).agg(F.max(F.struct("at", "hits")).alias("before"))
+    order = Window.partitionBy("novelty_fingerprint").orderBy("created_at", "fingerprint_occurrences")
+    # Occurrences start again at one after a gap.
+    starts = F.sum((F.col("fingerprint_occurrences") == 1).cast("int")).over(order)
+    first = F.min("created_at").over(Window.partitionBy("novelty_fingerprint"))
+    joined = queue.withColumn("__run", starts).withColumn("__first", first).join(newest, "novelty_fingerprint", "left")
+    near = micros("__first") - micros(F.col("before.at")) < gap_days * 86_400 * 1_000_000
+    counted = F.col("fingerprint_occurrences") + F.when((F.col("__run") <= 1) & near, F.col("before.hits")).otherwise(0)
+    out = joined.withColumn("fingerprint_occurrences", counted).withColumn(
+        "requires_escalation", F.col("fingerprint_occurrences") >= escalate_at
+    )
+    return out.select(*queue.columns)

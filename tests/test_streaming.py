@@ -67,6 +67,40 @@ def test_flows_and_patch(spark, frame, land, run):
     assert patched == {"a": (0.0, 6.0, 1), "z": (7.0, 7.0, 2)}
 
 
+def test_flow_patches_of_all_batches_last(spark, frame, tmp_path):
+    sink = S.flow_patch_sink(str(tmp_path / "deltas"))
+    schema = "account_id string, end timestamp, inflow_1h double, outflow_1h double"
+    sink(frame([("a", T0, 1.0, 2.0), ("a", T0 + H, 3.0, 4.0), ("b", T0, 5.0, 6.0)], schema), 0)
+    for _ in range(2):
+        sink(frame([("a", T0 + 2 * H, 7.0, 8.0)], schema), 1)
+    features = frame([("a", 0.0, 0.0, 1), ("b", 0.0, 0.0, 2), ("z", 9.0, 9.0, 3)], "account_id string, inflow_1h double, outflow_1h double, k int")
+    got = {r["account_id"]: tuple(r)[1:] for r in S.patched_features(features, str(tmp_path / "deltas")).collect()}
+    assert got == {"a": (7.0, 8.0, 1), "b": (5.0, 6.0, 2), "z": (9.0, 9.0, 3)}
+
+
+def test_occurrences_go_on_across_batches(spark, frame, tmp_path):
+    day = dt.timedelta(days=1)
+    times = [0, 1, 2, 8.5, 16, 17]
+    schema = "transaction_id int, fingerprint string, ts timestamp"
+    rows = [(i, "f", T0 + t * day) for i, t in enumerate(times)]
+    want = {r["transaction_id"]: r["occurrences"] for r in fingerprint_occurrences(frame(rows, schema)).collect()}
+    path, got = str(tmp_path / "out"), {}
+    for batch_id, part in enumerate([rows[:2], rows[2:3], rows[3:5], rows[5:]]):
+        counted = fingerprint_occurrences(frame(part, schema)).select(
+            "transaction_id",
+            F.col("fingerprint").alias("novelty_fingerprint"),
+            F.col("occurrences").alias("fingerprint_occurrences"),
+            (F.col("occurrences") >= 4).alias("requires_escalation"),
+            F.col("ts").alias("created_at"),
+        )
+        # The second try of a batch gives the same rows.
+        for _ in range(2):
+            queue = S.continue_runs(counted, f"{path}/runs", batch_id, escalate_at=4).cache()
+            S.run_ends(queue).write.mode("overwrite").parquet(f"{path}/runs/batch={batch_id}")
+        got |= {r["transaction_id"]: (r["fingerprint_occurrences"], r["requires_escalation"]) for r in queue.collect()}
+    assert got == {i: (n, n >= 4) for i, n in want.items()} and max(want.values()) == 4
+
+
 def test_dedupe_keeps_first(spark, frame, land, run):
     rows = [(1, T0, 1.0), (1, T0 + H / 60, 2.0), (2, T0 + H / 60, 3.0)]
     stream = land(frame(rows, "transaction_id long, ts timestamp, amount double"))
