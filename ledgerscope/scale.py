@@ -277,9 +277,15 @@ def _with_bucket(df: DataFrame, order: str, by: str | None, buckets: int | None)
     for name, cuts in points.items():
         width = max(1, math.isqrt(len(cuts)))
         rows.append((name, [cuts[i : i + width] for i in range(0, len(cuts), width)], width))
-    table = df.sparkSession.createDataFrame(rows, "__by string, __parts array<array<double>>, __width int")
-    # Boundaries of one feature: rows / BUCKET_ROWS numbers.
-    joined = keyed.join(F.broadcast(table), keyed["__by"].eqNullSafe(table["__by"])).drop(table["__by"])
+    if by is None:
+        # One list of boundaries is a constant of the plan, not a join.
+        _, parts, width = rows[0] if rows else (None, [], 1)
+        boundaries = F.array(*[F.lit(p) for p in parts]).cast("array<array<double>>")
+        joined = keyed.withColumn("__parts", boundaries).withColumn("__width", F.lit(width))
+    else:
+        table = df.sparkSession.createDataFrame(rows, "__by string, __parts array<array<double>>, __width int")
+        # Boundaries of one feature: rows / BUCKET_ROWS numbers.
+        joined = keyed.join(F.broadcast(table), keyed["__by"].eqNullSafe(table["__by"])).drop(table["__by"])
     stretch = F.size(F.filter("__parts", lambda p: p[0] < value))
     inside = F.size(F.filter(F.element_at("__parts", F.greatest(F.col("__s"), F.lit(1))), lambda p: p < value))
     bucket = F.when((F.col("__s") == 0) | F.col("__s").isNull(), 0).otherwise((F.col("__s") - 1) * F.col("__width") + inside)
