@@ -20,6 +20,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,10 +42,10 @@ _SPLIT = re.compile(f"[{_SPACE}]+")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
-def _keep(cache: dict, key: str, entry: tuple[int, str, str]) -> None:
+def _keep(cache: dict, key: str, entry: tuple[int, str, str], most: int) -> None:
     """Long keys are rare and large: they are not kept."""
     if len(key) < 64:
-        if len(cache) >= CACHE_ENTRIES:
+        if len(cache) >= most:
             cache.clear()
         cache[key] = entry
 
@@ -61,7 +62,8 @@ def byte_symbols() -> list[str]:
 class Codec:
     """Encoder and decoder of one word-end BPE tokenizer file (its JSON text)."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, cache_entries: int | None = None):
+        self.cache_entries = cache_entries or CACHE_ENTRIES
         data = json.loads(spec)
         model = data["model"]
         if model["type"] != "BPE" or model.get("byte_fallback") or model.get("dropout"):
@@ -162,7 +164,7 @@ class Codec:
         if known is None:
             ids = self._word_ids(word)
             known = (len(ids), " ".join(map(str, ids)), self.decode(ids))
-            _keep(self._words_seen, word, known)
+            _keep(self._words_seen, word, known, self.cache_entries)
         return known
 
     def _piece(self, piece: str) -> tuple[int, str, str]:
@@ -180,7 +182,7 @@ class Codec:
         else:
             found = [e for e in map(self._word, words) if e[0]]
             entry = (sum(e[0] for e in found), " ".join(e[1] for e in found), " ".join(e[2] for e in found))
-        _keep(self._pieces, piece, entry)
+        _keep(self._pieces, piece, entry, self.cache_entries)
         return entry
 
     def _chunks(self, text: str) -> list[tuple[int, str, str]]:
@@ -222,12 +224,14 @@ def read_spec(path: str) -> str:
         return file.read()
 
 
-def _on_documents(docs: DataFrame, path: str, text: str, carry: list[str], result: str, row) -> DataFrame:
+def _on_documents(
+    docs: DataFrame, path: str, text: str, carry: list[str], result: str, row, cache_entries: int | None = None
+) -> DataFrame:
     # A vocabulary file: a few MB whatever the corpus is.
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(path))
 
     def setup():
-        codec = Codec(spec.value)
+        codec = Codec(spec.value, cache_entries)
         return lambda texts: [row(codec, t) for t in as_texts(texts)]
 
     return map_rows(docs, carry, [column(text)], result, setup)
@@ -270,13 +274,21 @@ def round_trip(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
     return done.select(F.col("row").getField(doc_id).alias("doc_id"), "result.*")
 
 
-def tokenised(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """``row`` and ``result``: ids of the whole text, and the digest of what they decode to."""
+def tokenised(
+    docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, cache_entries: int = 60_000
+) -> DataFrame:
+    """``row`` and ``result``: ids of the whole text, and the digest of what they decode to.
+
+    The caches are smaller here, as the ids themselves need memory in the worker.
+    """
 
     def row(codec: Codec, t: str) -> dict:
-        ids = codec.encode(t)
-        decoded = codec.decode(ids).encode("utf-8", "surrogatepass")
-        return {"n_tokens": len(ids), "ids": ids, "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
+        n, ids, decoded = codec.summary(t)
+        return {
+            "n_tokens": n,
+            "ids": np.array(ids.split(), np.int32),
+            "decoded_sha256": hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(),
+        }
 
     kind = "n_tokens long, ids array<int>, decoded_sha256 string"
-    return _on_documents(docs, path, text, carry or docs.columns, kind, row)
+    return _on_documents(docs, path, text, carry or docs.columns, kind, row, cache_entries)

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 # Rows of an Arrow batch: texts average a few KB, some reach hundreds, so a batch
 # stays at a few MB in the worker.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 500
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -101,7 +101,7 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 # Text bytes worked on at a time where a pass needs several numbers a byte.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def slices(array: pa.Array, limit: int = SLICE_BYTES) -> Iterator[pa.Array]:

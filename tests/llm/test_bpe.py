@@ -45,10 +45,10 @@ def test_long_and_odd_texts(pair):
         same(pair, text)
 
 
-def test_cache_bound_keeps_results(pair, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 2)
-    for text in ["one two three four", "four three two one two"]:
-        same(pair, text)
+def test_cache_bound_keeps_results(pair):
+    small = pair[0], bpe.Codec(bpe.read_spec(vocabulary()), 2)
+    for text in ["one two three four", "four three two one two", "", "!"]:
+        same(small, text)
 
 
 def test_cuts_are_certain(pair):
@@ -68,6 +68,8 @@ def test_frames(spark, pair):
     back = bpe.decode(out.select("row.doc_id", "result.ids"), vocabulary())
     assert {r.result.text for r in back.collect()} == {"", "x</w> x</w>", pair[0].decode(pair[1].encode("Hello there"))}
     assert bpe.round_trip(docs, vocabulary()).count() == 5
+    whole = bpe.tokenised(docs, vocabulary()).collect()
+    assert sorted((r.result.n_tokens, len(r.result.ids)) for r in whole) == [(0, 0), (0, 0), (2, 2), (2, 2), (2, 2)]
     assert bpe.round_trip(docs.filter("false"), vocabulary()).count() == 0
 
 
