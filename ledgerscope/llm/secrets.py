@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a battery of randomness tests for everything else.
 
 Base spans come from three patterns (assignments, access keys, hex runs).  Other
-candidates are long runs of token characters.  For each, the encoding is inferred from
+candidates are long runs of token characters, split at '=' and '.', and their parts between
+'/', '-' and '_'; a part counts where the whole is not random itself.  For each, the encoding is inferred from
 its characters (hex, base 32, base 36, base 62, base 64), and three tests ask whether it
 could be drawn at random from that alphabet: a chi-squared test of uniformity over the
 alphabet (in classes, so that short strings have enough in each), a runs test about the
@@ -44,6 +45,7 @@ _KEYWORDS = (b"passw", b"secret", b"token", b"api")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"[0-9a-f]+")
 _TOKEN = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-"
+_PIECE, _PART = re.compile(rb"[A-Za-z0-9+/_-]+"), re.compile(rb"[A-Za-z0-9+]+")
 _TOKEN_RUN = re.compile(rb"[A-Za-z0-9+/_=.-]{%d,}" % MIN_LENGTH)
 
 
@@ -157,27 +159,46 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
     return out
 
 
-def candidates(text: bytes, base: list[tuple[str, int, int]]) -> list[tuple[int, int, str, float]]:
-    """Byte spans of other token runs with an encoding, and their combined p-value."""
+def candidates(
+    text: bytes, base: list[tuple[str, int, int]]
+) -> list[tuple[int, int, str, float, str | None, int | None]]:
+    """Byte spans of parts of other token runs with an encoding, and their combined p-value.
+
+    Runs are split at '=' and '.', which no encoding holds.  What is left is tested whole
+    and, where it has them, between its '/', '-' and '_'; such a part also names family
+    and grade of the whole, if that was tested.
+    """
     if not any(len(w) >= MIN_LENGTH for w in text.translate(_TOKEN_ONLY).split()):
         return []
     out = []
+
+    def tested(a: int, b: int) -> str | None:
+        """Encoding of a part that is long enough and not reported already."""
+        if b - a < MIN_LENGTH or any(x < b and a < y for _, x, y in base):
+            return None
+        return infer(text[a:b].decode())
+
     for m in _TOKEN_RUN.finditer(text):
-        a, b = m.span()
-        if any(x < b and a < y for _, x, y in base):
-            continue
-        token = m[0].decode().strip(".=-_")
-        a += len(m[0]) - len(m[0].lstrip(b".=-_"))
-        b = a + len(token)
-        encoding = infer(token) if len(token) >= MIN_LENGTH else None
-        if encoding:
-            out.append((a, b, encoding, combined(token, encoding)))
+        for piece in _PIECE.finditer(text, *m.span()):
+            a, b = piece.span()
+            a, b = b - len(piece[0].lstrip(b"-_")), a + len(piece[0].rstrip(b"-_"))
+            encoding, whole = tested(a, b), (None, None)
+            if encoding:
+                p = combined(text[a:b].decode(), encoding)
+                out.append((a, b, encoding, p, None, None))
+                whole = (f"{encoding}:{length_class(b - a)}", grade_of(p))
+            for part in _PART.finditer(text, a, max(a, b)):
+                x, y = part.span()
+                inner = tested(x, y) if y - x < b - a else None
+                if inner:
+                    out.append((x, y, inner, combined(text[x:y].decode(), inner), *whole))
     return out
 
 
 RESULT = (
     "base array<struct<kind: string, at: int, upto: int>>, "
-    "tested array<struct<at: int, upto: int, family: string, grade: int>>"
+    "tested array<struct<at: int, upto: int, family: string, grade: int, "
+    "whole: string, whole_grade: int>>"
 )
 
 
@@ -195,7 +216,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
             for t in as_bytes(texts):
                 base = base_spans(t)
                 tested = candidates(t, base)
-                at = _points(t, [(a, b) for _, a, b in base] + [(a, b) for a, b, _, _ in tested])
+                at = _points(t, [(a, b) for _, a, b in base] + [t[:2] for t in tested])
                 out.append(
                     {
                         "base": sorted(
@@ -203,8 +224,11 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
                             key=lambda s: (s["at"], KINDS.index(s["kind"])),
                         ),
                         "tested": [
-                            {"at": a, "upto": b, "family": f"{e}:{length_class(b - a)}", "grade": grade_of(p)}
-                            for (_, _, e, p), (a, b) in zip(tested, at[len(base) :])
+                            {
+                                "at": a, "upto": b, "family": f"{e}:{length_class(b - a)}", "grade": grade_of(p),
+                                "whole": whole, "whole_grade": whole_grade,
+                            }
+                            for (_, _, e, p, whole, whole_grade), (a, b) in zip(tested, at[len(base) :])
                         ],
                     }
                 )
@@ -251,8 +275,13 @@ def find_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None =
     cuts = structured_grades(scanned)
     limits = F.create_map(*[x for k, v in sorted(cuts.items()) for x in (F.lit(k), F.lit(v))]) if cuts else None
 
+    def passes(family, grade):
+        return grade < F.coalesce(F.element_at(limits, family), F.lit(0))
+
     def is_random(t):
-        return t["grade"] < F.coalesce(F.element_at(limits, t["family"]), F.lit(0))
+        # A part of a random whole is reported with it.
+        whole = t["whole"].isNotNull() & passes(F.coalesce(t["whole"], F.lit("")), F.coalesce(t["whole_grade"], F.lit(0)))
+        return passes(t["family"], t["grade"]) & ~whole
 
     kind = "array<struct<kind: string, at: int, upto: int>>"
     if limits is None:

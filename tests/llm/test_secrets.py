@@ -73,3 +73,21 @@ def test_query_against_plain_patterns(spark):
         assert r.base_sha256 == hashlib.sha256(shown(want).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for k, _, _ in want) for x in s.KINDS[:3])
         assert shown([x for x in want]) == ",".join(x for x in r.spans.split(",") if x and not x.startswith("random"))
+
+
+def test_secrets_inside_names_urls_and_dotted_tokens(spark):
+    rng = random.Random(12)
+    letters = s.ENCODINGS["base62"]
+    keys = ["".join(rng.choices(letters, k=40)) for _ in range(8)]
+    low = "".join(rng.choices(s.ENCODINGS["base36"], k=40))
+    texts = [
+        f"auth={keys[0]}", f"AWS_KEY={keys[1]}", f"sig={keys[2]}&x", f"{keys[3]}.{keys[4]}.{keys[5]}", f"https://host-a.example.org/my_files/{keys[6]}",
+        f"//host/path/{low}", f"é session={keys[7]}==",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in s.report(docs).collect():
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        text = texts[r.doc_id]
+        found = [text[int(a) : int(b)] for kind, a, b in spans if kind == "random"]
+        want = [k for k in (*keys, low) if k in text]
+        assert len(found) == len(want) and all(f.endswith(k) for f, k in zip(found, want)), (text, r.spans)
