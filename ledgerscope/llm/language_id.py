@@ -21,7 +21,7 @@ with null language are not learned from; repeated rows get equal results.
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,8 @@ ROWS_PER_LANGUAGE = 64
 CHARS_PER_LANGUAGE = 30_000
 # All automata together; more languages mean shorter training texts.
 CHARS_IN_ALL = 150_000
+# Letters with a column of their own in the transition tables; the rest are sparse.
+DENSE_LETTERS = 250
 PIECE = 512
 UNDETERMINED = "und"
 RESULT = "lang_pred string, score double, known double, bits double"
@@ -49,16 +51,41 @@ class Model:
     """Languages in order, symbol of each code point, and a transition table per language.
 
     Symbol 0 is everything that is not a letter, symbol 1 a letter never learned.
-    ``tables[k][state * width + symbol]`` is ``2 * next_row + new_phrase``.
+    ``tables[k][state * width + symbol]`` is ``2 * next_row + new_phrase`` for symbols under
+    ``width``, those of the most frequent letters.  Transitions by the others are few:
+    ``sparse[k]`` holds ``state * n_symbols + symbol`` in order, and the next states.
     """
 
     languages: list[str]
     letters: str
     tables: list[np.ndarray]
     phrase_bits: list[float]
+    sparse: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
+
+    @property
+    def n_symbols(self) -> int:
+        return len(self.letters) + 2
+
+    @property
+    def width(self) -> int:
+        return min(len(self.letters), DENSE_LETTERS) + 2
+
+    def rare(self, k: int, row: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """What ``tables[k]`` would hold for symbols beyond its width."""
+        width, (keys, after) = self.width, self.sparse[k]
+        state, symbol = row.astype(np.int64) // width, symbol.astype(np.int64)
+        alone = len(self.tables[k]) // width - 1
+
+        def follow(key):
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            return np.where(keys[at] == key, after[at], -1) if len(keys) else np.full(len(key), -1)
+
+        reached, start = follow(state * self.n_symbols + symbol), follow(symbol)
+        start = np.where(start >= 0, start, alone)
+        return np.where(reached >= 0, 2 * width * reached, 2 * width * start + (state > 0)).astype(np.int32)
 
     def symbols(self) -> np.ndarray:
-        table = _letters()
+        table = _letters().astype(np.int32)
         for i, c in enumerate(self.letters):
             for form in {c, c.upper(), c.title()}:
                 if len(form) == 1:
@@ -66,8 +93,8 @@ class Model:
         return table
 
 
-def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions (states x width, -1: none) of the automaton of all runs of ``text``."""
+def suffix_edges(text: np.ndarray) -> list[dict[int, int]]:
+    """Transitions of each state of the automaton of all runs of ``text``."""
     edges: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text.tolist():
@@ -93,13 +120,25 @@ def suffix_automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
+    return edges
+
+
+def suffix_automaton(text: np.ndarray, width: int, edges: list[dict[int, int]] | None = None) -> np.ndarray:
+    """Transitions (states x width, -1: none) by the symbols under ``width``."""
+    edges = suffix_edges(text) if edges is None else edges
     table = np.full((len(edges), width), -1, np.int32)
     for s, out in enumerate(edges):
-        if out:
-            table[s, list(out.keys())] = list(out.values())
+        dense = {c: t for c, t in out.items() if c < width}
+        if dense:
+            table[s, list(dense.keys())] = list(dense.values())
     return table
 
 
+def _sparse(edges: list[dict[int, int]], width: int, n_symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    found = sorted((s * n_symbols + c, t) for s, out in enumerate(edges) for c, t in out.items() if c >= width)
+    return np.array([k for k, _ in found], np.int64), np.array([t for _, t in found], np.int64)
+
+
 def _squeeze(symbols: np.ndarray) -> np.ndarray:
     """Runs of non-letters become one symbol 0."""
     keep = np.ones(len(symbols), bool)
@@ -117,14 +156,17 @@ def train(samples: dict[str, list[str]], chars: int = CHARS_PER_LANGUAGE) -> Mod
         for c in text:
             if c.isalpha():
                 counts[c] = counts.get(c, 0) + 1
-    # Symbols are bytes: the most frequent letters; the rest count as unknown.
-    letters = "".join(sorted(sorted(counts, key=lambda c: (-counts[c], c))[:250]))
+    # Every learned letter is a symbol; the most frequent come first.
+    by_count = sorted(counts, key=lambda c: (-counts[c], c))
+    letters = "".join(sorted(by_count[:DENSE_LETTERS]) + sorted(by_count[DENSE_LETTERS:]))
     model = Model(languages, letters, [], [])
-    table, width = model.symbols(), len(letters) + 2
+    table, width = model.symbols(), model.width
     for k in languages:
         text = table[np.frombuffer(texts[k].encode("utf-32-le", "replace"), np.uint32)]
         text = text[_squeeze(text)][:chars]
-        reached = suffix_automaton(text, width)
+        edges = suffix_edges(text)
+        reached = suffix_automaton(text, width, edges)
+        model.sparse.append(_sparse(edges, width, model.n_symbols))
         # A character unknown to the language is a phrase alone and leads to a state of
         # its own, where every character starts the next phrase.
         alone = len(reached)
@@ -180,11 +222,17 @@ class Parser:
         state = [np.zeros(len(owner), np.int32) for _ in languages]
         longest = int(size[0]) if len(size) else 0
         active = np.searchsorted(-size, -np.arange(longest), side="left")
+        width = self.model.width
+        some_rare = bool(len(symbols)) and int(symbols.max()) >= width
         for step in range(longest):
             n = int(active[step])
             symbol = symbols[start[:n] + step].astype(np.int32)
+            rare = np.flatnonzero(symbol >= width) if some_rare else ()
+            column_of = np.where(symbol < width, symbol, 1) if len(rare) else symbol
             for k in languages:
-                moved = self.model.tables[k][state[k][:n] + symbol]
+                moved = self.model.tables[k][state[k][:n] + column_of]
+                if len(rare):
+                    moved[rare] = self.model.rare(k, state[k][rare], symbol[rare])
                 count[k][:n] += moved & 1
                 state[k][:n] = moved >> 1
         out = np.zeros((len(sizes), len(self.model.languages)))

@@ -82,3 +82,33 @@ def test_query_held_out_accuracy(spark):
             total += 1
             right += r.lang_pred == docs[r.doc_id].lang
     assert total > 200 and right / total > 0.97
+
+
+def test_every_learned_letter_of_large_scripts_counts():
+    """More letters than the tables have columns: equal results to full tables, all known."""
+    import random
+
+    import pyarrow as pa
+
+    from ledgerscope.llm import language_id as d
+
+    rng = random.Random(6)
+    han = [chr(0x4E00 + i) for i in range(1_500)]
+    hangul = [chr(0xAC00 + i) for i in range(900)]
+
+    words = {id(x): ["".join(x[i : i + 3]) for i in range(0, len(x), 3)] for x in (han, hangul)}
+
+    def text(letters, n):
+        return " ".join(rng.choices(words[id(letters)], k=n // 4))
+
+    english = " ".join("".join(rng.choices("abcdefghijklmnop", k=4)) for _ in range(1_800))
+    samples = {"zh": [text(han, 9_000)], "ko": [text(hangul, 9_000)], "en": [f"the dog and the fox {english}"]}
+    probes = [samples["zh"][0][500:700], text(han, 300), text(hangul, 300), samples["ko"][0][:99], "the dog and the fox", "ωψ", text(han, 600) + text(hangul, 600)]
+    got = d.Parser(d.train(samples))(pa.array(probes))
+    assert [g["lang_pred"] for g in got[:5]] == ["zh", "zh", "ko", "ko", "en"]
+    assert all(g["known"] > 0.95 for g in got[:5]) and got[5]["known"] == 0
+    dense, d.DENSE_LETTERS = d.DENSE_LETTERS, 10_000
+    try:
+        assert d.Parser(d.train(samples))(pa.array(probes)) == got
+    finally:
+        d.DENSE_LETTERS = dense
