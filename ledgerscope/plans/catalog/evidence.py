@@ -347,8 +347,6 @@ def _(spark, d):
         V.txn(spark, d),
         V.seeds(spark, d),
         as_of(),
-        k=100,
-        pagerank_iters=10,
     )
 
 

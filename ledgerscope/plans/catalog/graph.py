@@ -142,7 +142,7 @@ BETWEENNESS_SQL = (
 
 @q("g6_betweenness_sampled")
 def _(spark, d):
-    return betweenness(graph(spark, d), k=100)
+    return betweenness(graph(spark, d))
 
 
 @q(

@@ -298,3 +298,23 @@ def test_embeddings_cover_every_account(frame, method):
 def test_hyperedges_skip_singletons(frame):
     df = frame([("a", 1), ("b", 1), ("c", 2), ("d", -1), ("e", -1)], "account_id string, community_id int")
     assert sorted(tuple(r) for r in B.hyperedges(df).collect()) == [("a", 1), ("b", 1)]
+
+
+def test_registered_graph_queries_run_the_whole_operators(spark, monkeypatch):
+    """The sampled betweenness and the nightly features take the defaults of their operators."""
+    from ledgerscope.plans.catalog import evidence, graph, load
+
+    seen = {}
+
+    def spy(name):
+        def call(*args, **kwargs):
+            seen[name] = set(kwargs)
+            return spark.range(1)
+
+        return call
+
+    monkeypatch.setattr(graph, "betweenness", spy("g6"))
+    monkeypatch.setattr(evidence, "account_graph_features", spy("g7"))
+    for name in ("g6_betweenness_sampled", "g7_account_features"):
+        load()[name][0](spark, "/root/testdata/sf0.001")
+    assert not seen["g6"] & {"k"} and not seen["g7"] & {"k", "pagerank_iters"}
