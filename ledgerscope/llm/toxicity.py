@@ -5,7 +5,7 @@ is shared by all thresholds: P(grade > j) = sigmoid(w . x - theta_j) with theta
 The prediction is the expected grade, the sum of these probabilities.
 
 Features are words and word beginnings present in the whole text.  The fit uses a bounded sample of labelled
-rows (``sample_rows``, those with the smallest hash of the id); of their words, the
+rows (``sample_rows`` ids that have documents, those with the smallest hash; one row each); of their words, the
 ``features`` with the largest chi-squared statistic against the grade are kept, as far as
 they stand out from chance among all words.  All documents are then scored.
 
@@ -85,13 +85,20 @@ def grade(quality: str = "quality", toxic: str = "toxic"):
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = SAMPLE_ROWS
 ) -> DataFrame:
-    """``grade, text`` of at most ``rows`` labelled documents."""
+    """``grade, text`` of at most ``rows`` labelled documents, one row of each id."""
     graded = labels.select(column(doc_id).alias("id"), grade().alias("grade")).filter("grade IS NOT NULL AND id IS NOT NULL")
     graded = graded.groupBy("id").agg(F.max("grade").alias("grade"))
-    chosen = graded.orderBy(F.xxhash64("id"), "id").limit(rows)
     source = docs.select(column(doc_id).alias("id"), column(text).alias("text"))
+    # Labels without document take no place; an id counts once, with the smallest text hash.
+    held = source.select("id").filter("id IS NOT NULL").distinct()
+    chosen = graded.join(held, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(rows)
     # At most ``rows`` ids and grades.
-    return source.join(F.broadcast(chosen), "id").select("grade", "text")
+    found = source.join(F.broadcast(chosen), "id").withColumn("h", F.xxhash64("text"))
+    # Least hash of each id, map-side; rows that have it are one text.
+    least = found.groupBy("id").agg(F.min("h").alias("h"))
+    return found.join(F.broadcast(least), ["id", "h"]).groupBy("id").agg(
+        F.min("grade").alias("grade"), F.min("text").alias("text")
+    ).select("grade", "text")
 
 
 def select_features(sample: DataFrame, features: int = FEATURES) -> list[bytes]:

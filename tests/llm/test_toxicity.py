@@ -60,3 +60,14 @@ def test_query(spark):
     folder = "/root/testdata/sf0.001"
     got = QUERIES["op8_toxicity"][0](spark, folder)
     assert got.count() == spark.read.parquet(f"{folder}/documents.parquet").count()
+
+
+def test_sample_is_bounded_in_documents(spark):
+    """Labels without document take no places, and a repeated id enters with one row."""
+    from ledgerscope.llm import toxicity as d
+
+    docs = spark.createDataFrame([(i % 20, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(2_000)], "doc_id long, quality int, toxic int")
+    got = d.labelled_sample(docs, labels, rows=20).collect()
+    assert len(got) == 20 and len({r.text for r in got}) == 20
+    assert sorted(int(r.text.split()[1]) % 20 for r in got) == list(range(20))
