@@ -103,3 +103,10 @@ def op4(spark, sf_dir):
     from ledgerscope.llm import substring_dedup
 
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
+@register("op12_whitening")
+def op12(spark, sf_dir):
+    from ledgerscope.llm import whitening
+
+    return whitening.report(table(spark, sf_dir, "embeddings"))
