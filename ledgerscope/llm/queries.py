@@ -110,3 +110,10 @@ def op12(spark, sf_dir):
     from ledgerscope.llm import whitening
 
     return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+@register("op11_embedding_dedup")
+def op11(spark, sf_dir):
+    from ledgerscope.llm import embedding_dedup
+
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
