@@ -117,3 +117,10 @@ def op11(spark, sf_dir):
     from ledgerscope.llm import embedding_dedup
 
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_alignment")
+def op13(spark, sf_dir):
+    from ledgerscope.llm import alignment
+
+    return alignment.alignment(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
