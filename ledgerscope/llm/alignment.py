@@ -48,6 +48,10 @@ CONTAINER_POSTINGS = 1_000_000
 DENSE = CONTAINER_DOCS // 16
 # Bits of a token id in a pair, and of a document within a batch.
 ID_BITS, DOC_BITS = 22, 19
+# The word pattern of byte-level pre-tokenizers, and the texts that both
+# libraries surely split alike (long assigned letters, digits, marks and white space).
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SETTLED = re.compile(r"[\t\n\r\x20-\x7e\xa0-\u0233\u2010-\u2027\u20ac]*")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links")
 
@@ -71,7 +75,9 @@ class Sides:
         self.a.no_truncation()
         self.a.no_padding()
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pieces)
-        self.bytes_a = self._byte_level(json.loads(byte_level))
+        spec = json.loads(byte_level)
+        self.bytes_a = self._byte_level(spec)
+        self.fast = self._by_ranks(spec)
         self.bytes_b = [self._piece(self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         if max(len(self.bytes_a), len(self.bytes_b)) >= 1 << ID_BITS:
             raise ValueError(f"token ids need more than {ID_BITS} bits")
@@ -91,6 +97,33 @@ class Sides:
             out[i] = bytes(symbols[c] for c in text) if known else text.encode()
         return out
 
+    def _by_ranks(self, spec: dict):
+        """The same encoder by ranks, four times as fast; None if ids do not follow the merges."""
+        import tiktoken
+
+        vocab, words = spec["model"]["vocab"], spec["pre_tokenizer"] or {}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        usual = words.get("type") == "ByteLevel" and words.get("use_regex", True) and not words.get("add_prefix_space")
+        ranked = all(vocab[a + b] == 256 + i for i, (a, b) in enumerate(merges))
+        if not (usual and ranked and spec["normalizer"] is None):
+            return None
+        ranks = {self.bytes_a[i]: i for i in range(256 + len(merges))}
+        return tiktoken.Encoding("A", pat_str=_WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, texts: list[str]) -> list[list[int]]:
+        """Ids of A, by ranks where a text is sure to be split alike."""
+        out: list[list[int]] = [[]] * len(texts)
+        rest = []
+        for i, text in enumerate(texts):
+            if self.fast is not None and _SETTLED.fullmatch(text):
+                out[i] = self.fast.encode_ordinary(text)
+            else:
+                rest.append(i)
+        if rest:
+            for i, made in zip(rest, self.a.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
+                out[i] = made.ids
+        return out
+
     @staticmethod
     def _piece(piece: str) -> bytes:
         found = _BYTE_PIECE.fullmatch(piece)
@@ -102,10 +135,10 @@ class Sides:
         out: list[tuple[list[int], list[int]]] = [([], [])] * len(texts)
         if not full:
             return out
-        encoded = self.a.encode_batch([" " + texts[i] for i in full], add_special_tokens=False)
+        encoded = self.encode_a([" " + texts[i] for i in full])
         pieces = self.b.encode([texts[i] for i in full], num_threads=1)
-        for i, left, b in zip(full, encoded, pieces):
-            a, want = left.ids, b" " + texts[i].encode()
+        for i, a, b in zip(full, encoded, pieces):
+            want = b" " + texts[i].encode()
             if b"".join([self.bytes_a[t] for t in a]) == want and b"".join([self.bytes_b[t] for t in b]) == want:
                 out[i] = (a, b)
         return out

@@ -125,6 +125,22 @@ def test_hot_pair_uses_dense_bitmaps(spark, tools):
     assert result(alignment.alignment(table, A, B)) == brute(tools, rows)
 
 
+def test_ranks_encode_like_the_library(tools):
+    """Every settled code point in several places, random words, and all sample documents."""
+    import pyarrow.parquet as pq
+
+    a, _, sides = tools
+    assert sides.fast is not None
+    settled = [c for c in map(chr, range(1, 0x3000)) if alignment._SETTLED.fullmatch(c)]
+    texts = [t for c in settled for t in (c, f"a{c}b {c}1", f"{c}{c} x  {c}\n{c}", f"1{c}'s{c}'ll")]
+    rng = random.Random(5)
+    texts += ["".join(rng.choices(settled, k=rng.randint(1, 60))) for _ in range(3_000)]
+    texts += ["".join(rng.choices("etaoinshrdlu aabbcc''..  \n", k=rng.randint(1, 80))) for _ in range(3_000)]
+    texts += [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet")["text"].to_pylist() if t]
+    texts = [" " + t for t in texts]
+    assert sides.encode_a(texts) == [e.ids for e in a.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_empty_table(spark):
     table = spark.createDataFrame([], "doc_id long, text string")
     assert alignment.alignment(table, A, B).count() == 0
