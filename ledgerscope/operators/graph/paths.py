@@ -7,9 +7,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerscope.operators.graph.adjacency import CHUNK_BITS, TimeCutIndex
 from ledgerscope.operators.graph.components import strong_components
 from ledgerscope.scale import cut_lineage, micros, top_per_key
 
+# Partial trails a repeated round may hold in all.
+ROUND_ROWS = 200_000
+
 
 def _steps(edges: DataFrame) -> DataFrame:
     return edges.select(
@@ -44,6 +48,9 @@ def cycles(
     Every cycle lies inside one strong component, so other transfers are dropped
     first.  Shorter cycles sort first: each round closes paths before it grows
     them, and an account with ``k`` cycles stops growing - that loses nothing.
+    From the middle on, backward hop distances of the accounts still searching tell
+    which paths can close in the hops that are left; only those grow, so neither side
+    goes further than half the hops.
     """
     recent = edges.filter(
         (F.col("ts").cast("timestamp") > as_of - F.expr(f"INTERVAL {days} DAYS"))
@@ -66,6 +73,7 @@ def cycles(
     )
     columns = ["start", "nodes", "edge_ids", "amounts", "times", "channels"]
     found: DataFrame | None = None
+    back: DataFrame | None = None
     for hops in range(2, max_hops + 1):
         closed = _grow(
             paths,
@@ -83,9 +91,15 @@ def cycles(
         if found is not None:
             full = found.groupBy("start").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
             open_paths = paths.join(full.select("start"), "start", "left_anti")
-        paths = cut_lineage(
-            _grow(open_paths, steps, "__to", F.col("tip") == F.col("__from"), ["start"])
-        )
+        grown = _grow(open_paths, steps, "__to", F.col("tip") == F.col("__from"), ["start"])
+        left = max_hops - hops
+        if left <= max_hops // 2:
+            if back is None:
+                back = distances_to(open_paths.select("start").distinct(), steps, left)
+            grown = grown.join(
+                back.filter(F.col("distance") <= left).select("start", F.col("node").alias("tip")), ["start", "tip"], "left_semi"
+            )
+        paths = cut_lineage(grown)
         if not paths.take(1):
             break
     order = Window.partitionBy("start").orderBy("hops", "edge_ids")
@@ -94,13 +108,28 @@ def cycles(
     return found.withColumn("rank", F.row_number().over(order))
 
 
+def distances_to(starts: DataFrame, steps: DataFrame, radius: int) -> DataFrame:
+    """``start, node, distance``: accounts from which ``start`` is at most ``radius`` hops away."""
+    links = cut_lineage(steps.select("__from", "__to").distinct())
+    reached = cut_lineage(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
+    frontier = reached
+    for hop in range(1, radius + 1):
+        into = frontier.join(links, F.col("node") == F.col("__to")).select("start", F.col("__from").alias("node")).distinct()
+        frontier = cut_lineage(
+            into.join(reached.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(hop))
+        )
+        reached = reached.unionByName(frontier)
+    return reached
+
+
 def trails(
     seeds: DataFrame,
     edges: DataFrame,
     direction: str = "forward",
     max_hops: int = 10,
     k: int = 20,
-    beam: int = 48,
+    beam: int = 4,
+    chunk_bits: int = CHUNK_BITS,
 ) -> DataFrame:
     """The ``k`` longest trails of every seed ``(seed_id, account_id, seed_ts)``.
 
@@ -108,73 +137,147 @@ def trails(
     backward trails arrive through transfers at or before it.  Order: hops, longest
     first, then transfer ids from the seed outwards.
 
-    A round keeps the ``beam`` first partial trails of a seed in that order.  Any
-    dropped partial trail sorts after every kept one of the same length, so once a
-    seed has ``k`` trails of full length they are the right ones.  Seeds that lost
-    partial trails and do not have ``k`` are run again with a wider beam.
+    For each account and number of hops one number tells from which time on a walk of
+    that length still starts there.  It gives every seed the longest length it can hope
+    for, and each partial trail whether it can still get there.
+
+    A round keeps the ``beam`` first partial trails of a seed in that order (``k`` at the
+    last hop).  Any dropped partial trail sorts after every kept one of the same length, so
+    once a seed has ``k`` trails of the longest length they are the right ones.  The first
+    round follows only partial trails that can still get there; seeds without ``k`` such
+    trails (walks may use a transfer twice, trails may not) run again without that test,
+    and with a wider beam as long as they lose partial trails.
+
+    What follows the first partial trail sorts before what follows the second, so partial
+    trails are taken in order until a seed has enough, and each needs only its tip's first
+    fitting transfers, which a time-cut index gives: rows grow with seeds times beam, not
+    with the transfers of a hub.
     """
     if direction not in ("forward", "backward"):
         raise ValueError("direction must be 'forward' or 'backward'")
+    forward = direction == "forward"
+    head, tail = ("__from", "__to") if forward else ("__to", "__from")
     steps = cut_lineage(_steps(edges.filter(F.col("src") != F.col("dst"))))
-    open_seeds = cut_lineage(seeds.select("seed_id", "account_id", F.col("seed_ts")))
+    bounds = walk_bounds(steps, head, tail, not forward, max_hops)
+    reaching = bounds.select(F.col("account_id").alias(tail), F.col("bounds").alias("__reach"))
+    index = TimeCutIndex(steps.join(reaching, tail, "left"), head, not forward, chunk_bits)
+    since = index.time("seed_ts")
+    hopeful = seeds.select("seed_id", "account_id", since.alias("since")).join(bounds, "account_id")
+    # Bounds fall with the length, so those that are met are the first ones.
+    aimed = hopeful.withColumn("aim", F.size(F.filter("bounds", lambda at: at >= F.col("since")))).filter("aim > 0")
+    open_seeds = cut_lineage(aimed.drop("bounds"))
     done: list[DataFrame] = []
-    while open_seeds.take(1):
-        result, unsettled = _trail_round(open_seeds, steps, direction, max_hops, k, beam)
+    pruned = True
+    while open_seeds.take(1) or not done:
+        result, unsettled = _trail_round(open_seeds, index, tail, max_hops, k, beam, pruned)
         settled = result.join(unsettled, "seed_id", "left_anti")
         done.append(cut_lineage(settled))
         open_seeds = cut_lineage(open_seeds.join(unsettled, "seed_id", "left_semi"))
-        beam *= 8
-    if not done:
-        result, _ = _trail_round(open_seeds, steps, direction, 1, k, beam)
-        return result
+        # Few seeds may have wide beams from the start; every width gives the same trails.
+        beam, pruned = max(beam * 8, ROUND_ROWS // max(1, open_seeds.count())), False
     return reduce(DataFrame.unionByName, done)
 
 
-def _trail_round(seeds, steps, direction, max_hops, k, beam):
-    forward = direction == "forward"
-    at, seed_at = micros("__ts"), micros("seed_ts")
-    in_time = at >= seed_at if forward else at <= seed_at
-    tip_end, tail = ("__from", "__to") if forward else ("__to", "__from")
-    keep = ["seed_id", "seed_ts"]
-    element = {f.name: f.dataType.simpleString() for f in steps.schema.fields}
+def walk_bounds(steps: DataFrame, head: str, tail: str, backward: bool, max_hops: int) -> DataFrame:
+    """``account_id, bounds``: the latest time from which a walk of 1, 2, .. hops still starts.
+
+    A walk of ``h`` hops over transfers from a time on exists if its first transfer is
+    late enough and a walk of ``h - 1`` hops exists where that leads: the maximum over
+    transfers of the minimum of both.  ``backward`` turns time around.
+    """
+    at = micros("__ts")
+    links = steps.withColumn("__at", -at if backward else at).filter(F.col("__at").isNotNull())
+    # Of parallel transfers only the latest matters.
+    links = cut_lineage(links.groupBy(F.col(head).alias("a"), F.col(tail).alias("b")).agg(F.max("__at").alias("at")))
+    bounds = links.groupBy("a").agg(F.array(F.max("at")).alias("bounds"))
+    for hops in range(2, max_hops + 1):
+        after = links.join(bounds.select(F.col("a").alias("b"), "bounds"), "b", "left")
+        longer = [F.max(F.when(F.get("bounds", F.lit(i)).isNotNull(), F.least("at", F.get("bounds", F.lit(i))))) for i in range(hops - 1)]
+        bounds = after.groupBy("a").agg(F.array(F.max("at"), *longer).alias("bounds"))
+        if hops % 5 == 0:
+            bounds = cut_lineage(bounds)
+    return cut_lineage(bounds.withColumnRenamed("a", "account_id"))
+
+
+def _trail_round(seeds, index, tail, max_hops, k, beam, pruned):
+    element = {f.name: f.dataType.simpleString() for f in index.rows.schema.fields}
     paths = seeds.select(
         "seed_id",
-        "seed_ts",
+        "since",
+        "aim",
         F.array("account_id").alias("nodes"),
         F.array().cast(f"array<{element['__eid']}>").alias("edge_ids"),
         F.array().cast(f"array<{element['__amount']}>").alias("amounts"),
         F.array().cast(f"array<{element['__ts']}>").alias("times"),
         F.array().cast(f"array<{element['__channel']}>").alias("channels"),
         F.col("account_id").alias("tip"),
+        F.lit(1).alias("place"),
     )
     columns = ["seed_id", "nodes", "edge_ids", "amounts", "times", "channels"]
-    best = None
-    cut = None
+    levels, lost = [], []
     for hops in range(1, max_hops + 1):
-        grown = _grow(paths, steps, tail, (F.col("tip") == F.col(tip_end)) & in_time, keep)
-        order = Window.partitionBy("seed_id").orderBy("edge_ids")
-        ranked = grown.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= beam + 1)
-        ranked = cut_lineage(ranked)
-        over = ranked.filter(F.col("__rn") > beam).select("seed_id")
-        cut = over if cut is None else cut.union(over)
-        paths = ranked.filter(F.col("__rn") <= beam).drop("__rn")
-        level = ranked.filter(F.col("__rn") <= k).select(*columns, F.lit(hops).alias("hops"))
-        merged = level if best is None else best.unionByName(level)
-        best = cut_lineage(
-            top_per_key(merged, ["seed_id"], [F.desc("hops"), F.asc("edge_ids")], k)
-        )
+        # The last hop of a seed's trails keeps ``k``.
+        last = (F.col("aim") == hops) if pruned else F.lit(hops == max_hops)
+        keep = F.when(last, max(k, beam)).otherwise(beam)
+        grown = cut_lineage(_extend(paths, index, tail, hops, max(k, beam) + 1, keep, pruned))
+        lost.append(grown.filter(F.col("place") > keep).select("seed_id"))
+        paths = grown.filter(F.col("place") <= keep)
+        told = paths.filter(F.col("aim") == hops) if pruned else paths
+        levels.append(told.select(*columns, "aim", F.lit(hops).alias("hops")))
+        if pruned:
+            paths = paths.filter(F.col("aim") > hops)
         if not paths.take(1):
             break
-    full = (
-        best.filter(F.col("hops") == max_hops)
-        .groupBy("seed_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= k)
-        .select("seed_id")
+    order = [F.desc("hops"), F.asc("edge_ids")]
+    best = cut_lineage(top_per_key(reduce(DataFrame.unionByName, levels), ["seed_id"], order, k))
+    full = best.filter("hops = aim").groupBy("seed_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k)
+    open_ = seeds.select("seed_id") if pruned else reduce(DataFrame.union, lost).distinct()
+    unsettled = cut_lineage(open_.join(full, "seed_id", "left_anti").select("seed_id"))
+    ordered = Window.partitionBy("seed_id").orderBy(*order)
+    return best.drop("aim").withColumn("rank", F.row_number().over(ordered)), unsettled
+
+
+def _extend(paths: DataFrame, index: TimeCutIndex, tail: str, hops: int, need: int, keep: Column, pruned: bool) -> DataFrame:
+    """The first ``keep`` one-hop extensions of each seed and one more (``need`` at most), ranked in ``place``.
+
+    First only the first partial trail of each seed is extended; the others follow for
+    seeds that have not enough by then.
+    """
+    first = _candidates(paths.filter("place = 1"), index, tail, hops, need, keep, pruned)
+    if hops == 1:
+        chosen = first
+    else:
+        first = cut_lineage(first)
+        served = first.groupBy("seed_id", "aim").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > keep).select("seed_id")
+        rest = paths.filter("place > 1").join(served, "seed_id", "left_anti")
+        chosen = first.unionByName(_candidates(rest, index, tail, hops, need, keep, pruned))
+    order = Window.partitionBy("seed_id").orderBy("place", "__eid")
+    ranked = chosen.withColumn("__place", F.row_number().over(order)).filter((F.col("__place") <= need) & (F.col("__place") <= keep + 1))
+    return paths.join(ranked.drop("aim"), ["seed_id", "place"]).select(
+        "seed_id",
+        "since",
+        "aim",
+        F.concat("nodes", F.array("__next")).alias("nodes"),
+        F.concat("edge_ids", F.array("__eid")).alias("edge_ids"),
+        F.concat("amounts", F.array("__amount")).alias("amounts"),
+        F.concat("times", F.array("__ts")).alias("times"),
+        F.concat("channels", F.array("__channel")).alias("channels"),
+        F.col("__next").alias("tip"),
+        F.col("__place").alias("place"),
     )
-    unsettled = cut_lineage(cut.distinct().join(full, "seed_id", "left_anti"))
-    ordered = Window.partitionBy("seed_id").orderBy(F.desc("hops"), F.asc("edge_ids"))
-    return best.withColumn("rank", F.row_number().over(ordered)), unsettled
+
+
+def _candidates(paths: DataFrame, index: TimeCutIndex, tail: str, hops: int, need: int, keep: Column, pruned: bool) -> DataFrame:
+    """The first unused fitting transfers of each seed's partial trails."""
+    asked = index.ask(paths.select("seed_id", "place", "edge_ids", "aim", "tip", "since"), "tip", "since", need + hops)
+    unused = asked.filter(~F.array_contains("edge_ids", F.col("__eid")))
+    if pruned:
+        left = F.col("aim") - hops
+        # Of an account of several chunks only the first transfers are known: all stay.
+        unused = unused.filter(~F.col("__whole") | (left == 0) | (F.get("__reach", left - 1) >= F.col("since")))
+    unused = unused.select("seed_id", "aim", "place", "__eid", F.col(tail).alias("__next"), "__amount", "__ts", "__channel")
+    ranked = unused.withColumn("__rn", F.row_number().over(Window.partitionBy("seed_id").orderBy("place", "__eid")))
+    return ranked.filter((F.col("__rn") <= need) & (F.col("__rn") <= keep + 1)).drop("__rn")
 
 
 def longest_paths(paths: DataFrame, key: str = "seed_id", k: int = 20) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerscope.operators import gates as G
 from ledgerscope.operators.graph import paths as H
 from ledgerscope.plans.catalog import Registry
-from ledgerscope.plans.catalog.graph import PATHS_SQL
+from ledgerscope.plans.catalog.graph import CYCLES_SQL
 from ledgerscope.plans.catalog.profile import _FLOW_SQL, SIDES_SQL, r
 from ledgerscope.sources import views as V
 from ledgerscope.sources.views import as_of, with_views
@@ -183,15 +183,15 @@ def relations(spark, d):
 
 
 LEGIT_SQL = (
-    PATHS_SQL.format(hops=5)
+    CYCLES_SQL
     + """, rel AS (SELECT DISTINCT least(id, (id * 7 + 3) % 100) AS lo, greatest(id, (id * 7 + 3) % 100) AS hi FROM acct),
-  c5 AS (SELECT start, ids, nodes, hops, rank FROM cyc WHERE rank <= 5),
-  cm AS (SELECT c.start, c.ids, u.node FROM c5 c, LATERAL (SELECT DISTINCT unnest(c.nodes) AS node) u),
+  kept AS (SELECT start, ids, nodes, hops, rank FROM cyc WHERE rank <= 5),
+  cm AS (SELECT c.start, c.ids, u.node FROM kept c, LATERAL (SELECT DISTINCT unnest(c.nodes) AS node) u),
   ck AS (SELECT cm.start, cm.ids, bool_and(coalesce(is_merchant, FALSE)) AS merch, bool_or(coalesce(kyc_completeness_score, 0) < 0.3 OR coalesce(account_age_days, 0) < 90) AS shell,
     bool_or(cm.node <> cm.start AND EXISTS (SELECT 1 FROM rel WHERE lo = least(cm.node, cm.start) AND hi = greatest(cm.node, cm.start))) AS related
     FROM cm JOIN acct a ON cm.node = a.id GROUP BY cm.start, cm.ids),
   ce AS (SELECT c.*, e1.amount AS entry_amount, e2.amount AS exit_amount, abs(floor((epoch_us(e2.ts) - epoch_us(e1.ts)) / 86400000000.0)) AS dur
-    FROM c5 c JOIN be e1 ON e1.transaction_id = c.ids[1] JOIN be e2 ON e2.transaction_id = c.ids[-1]),
+    FROM kept c JOIN be e1 ON e1.transaction_id = c.ids[1] JOIN be e2 ON e2.transaction_id = c.ids[-1]),
   judged AS (SELECT ce.*, CASE WHEN coalesce(a.account_type, 'SAVINGS') IN ('INTERNAL','TREASURY','NOSTRO','VOSTRO') THEN 'internal_transfer' WHEN ck.related THEN 'known_relationship'
       WHEN lower(a.kyc_occupation) IN ('employer','corporate','payroll_processor') AND dur <= 30 AND exit_amount <= entry_amount THEN 'salary_advance_return'
       WHEN ck.merch AND NOT ck.shell THEN 'merchant_settlement_cycle' WHEN entry_amount > 0 AND exit_amount / entry_amount < 0.7 THEN 'fee_or_partial_repayment' END AS reason

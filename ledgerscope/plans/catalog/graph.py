@@ -159,20 +159,41 @@ def _(spark, d):
     return r(rows, "betweenness_centrality", places=6)
 
 
-PATHS_SQL = """, be AS MATERIALIZED (SELECT * FROM edges WHERE ts > TIMESTAMP '2024-01-24 00:00:00'),
- walk AS (
-  SELECT src AS start, dst AS tip, [transaction_id] AS ids, [src, dst] AS nodes, 1 AS hops FROM be
-  UNION ALL
-  SELECT w.start, e.dst, list_append(w.ids, e.transaction_id), list_append(w.nodes, e.dst), w.hops + 1
-  FROM walk w JOIN be e ON w.tip = e.src WHERE w.hops < {hops} AND NOT list_contains(w.ids, e.transaction_id)),
- cyc AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, ids) AS rank FROM walk WHERE tip = start AND hops >= 2)"""
+def cycles_sql(max_hops: int = 8, k: int = 5) -> str:
+    """Round trips level by level: closed before grown, and grown only where they can still close."""
+    half = max_hops // 2
+    sql = f""", be AS MATERIALIZED (SELECT * FROM edges WHERE ts > TIMESTAMP '2024-01-24 00:00:00'),
+ bl AS MATERIALIZED (SELECT DISTINCT src, dst FROM be),
+ rd AS (SELECT DISTINCT src AS start, src AS node, 0 AS d FROM bl
+   UNION SELECT rd.start, bl.src, rd.d + 1 FROM rd JOIN bl ON bl.dst = rd.node WHERE rd.d < {half}),
+ near AS MATERIALIZED (SELECT start, node, min(d) AS d FROM rd GROUP BY ALL),
+ p1 AS MATERIALIZED (SELECT src AS start, dst AS tip, [transaction_id] AS ids, [src, dst] AS nodes FROM be)"""
+    for h in range(2, max_hops + 1):
+        sql += f""",
+ c{h} AS MATERIALIZED (SELECT w.start, list_append(w.ids, e.transaction_id) AS ids, list_append(w.nodes, e.dst) AS nodes, {h} AS hops
+   FROM p{h - 1} w JOIN be e ON w.tip = e.src AND w.start = e.dst WHERE NOT list_contains(w.ids, e.transaction_id)
+   QUALIFY row_number() OVER (PARTITION BY w.start ORDER BY list_append(w.ids, e.transaction_id)) <= {k})"""
+        if h < max_hops:
+            so_far = " UNION ALL ".join(f"SELECT start FROM c{i}" for i in range(2, h + 1))
+            closing = f" AND EXISTS (SELECT 1 FROM near n WHERE n.start = w.start AND n.node = e.dst AND n.d <= {max_hops - h})" if max_hops - h <= half else ""
+            sql += f""",
+ f{h} AS MATERIALIZED (SELECT start FROM ({so_far}) GROUP BY start HAVING count(*) >= {k}),
+ p{h} AS MATERIALIZED (SELECT w.start, e.dst AS tip, list_append(w.ids, e.transaction_id) AS ids, list_append(w.nodes, e.dst) AS nodes
+   FROM p{h - 1} w JOIN be e ON w.tip = e.src WHERE NOT EXISTS (SELECT 1 FROM f{h} f WHERE f.start = w.start)
+     AND NOT list_contains(w.ids, e.transaction_id){closing})"""
+    closed = " UNION ALL ".join(f"SELECT * FROM c{h}" for h in range(2, max_hops + 1))
+    return sql + f""",
+ cyc AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, ids) AS rank FROM ({closed}))"""
+
+
+CYCLES_SQL = cycles_sql()
 
 
 @q(
     "g9_cycles",
     with_views(
         "edges",
-        PATHS_SQL.format(hops=8)
+        CYCLES_SQL
         + """ SELECT start, CAST(hops AS INTEGER) AS hops, CAST(rank AS INTEGER) AS rank, array_to_string(nodes, '>') AS nodes, array_to_string(ids, ',') AS edge_ids
         FROM cyc WHERE rank <= 5""",
         recursive=True,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerscope.operators.graph import basic as B
 from ledgerscope.operators.graph import components as S
 from ledgerscope.operators.graph import paths as H
+from ledgerscope.operators.graph.adjacency import TimeCutIndex
 from ledgerscope.operators.graph.betweenness import betweenness
 from ledgerscope.operators.graph.community import communities, label_propagation, modularity
 from ledgerscope.operators.graph.pagerank import personalized_pagerank
@@ -203,13 +204,13 @@ def test_cycles_match_enumeration(frame, seed):
 
 
 @pytest.mark.parametrize("direction", ["forward", "backward"])
-@pytest.mark.parametrize("beam", [4, 48])
-def test_trails_are_the_longest_whatever_the_beam(frame, direction, beam):
+@pytest.mark.parametrize("beam, chunk_bits", [(1, 0), (4, 10), (48, 1)])
+def test_trails_are_the_longest_whatever_the_beam(frame, direction, beam, chunk_bits):
     rows = _transfers(9, n=6, m=18)
     seeds = [("s1", "n0", T0 + 30 * M), ("s2", "n3", T0 + 60 * M), ("s3", "nobody", T0)]
     got = {}
     found = H.trails(
-        frame(seeds, "seed_id string, account_id string, seed_ts timestamp"), frame(rows, EDGE), direction, max_hops=4, k=4, beam=beam
+        frame(seeds, "seed_id string, account_id string, seed_ts timestamp"), frame(rows, EDGE), direction, max_hops=4, k=4, beam=beam, chunk_bits=chunk_bits
     )
     for r in found.collect():
         got.setdefault(r["seed_id"], []).append((r["rank"], tuple(r["edge_ids"])))
@@ -224,6 +225,54 @@ def test_trails_are_the_longest_whatever_the_beam(frame, direction, beam):
     assert {k: sorted(v) for k, v in got.items()} == expected
 
 
+@pytest.mark.parametrize("backward", [False, True])
+def test_time_cut_index_answers_like_a_scan(frame, backward):
+    """A hub of many chunks, equal times at their borders, and questions at every time."""
+    rnd = random.Random(3)
+    at = [T0 + rnd.randrange(25) * M for _ in range(400)]
+    rows = [("hub" if i < 300 else f"c{i % 9}", i * 7919 % 1009, t) for i, t in enumerate(at)]
+    steps = frame([*rows, ("hub", 5_000, None), (None, 5_001, T0)], "__from string, __eid long, __ts timestamp")
+    index = TimeCutIndex(steps, "__from", backward, chunk_bits=2)
+    asked = [(f"{a}{j}", a, T0 + (j - 1) * M) for a in ("hub", "c1", "none") for j in range(27)]
+    table = frame(asked, "q string, tip string, at timestamp").withColumn("since", index.time("at"))
+    m, got, size = 3, {}, {}
+    for r in index.ask(table, "tip", "since", m).collect():
+        got.setdefault(r["q"], []).append(r["__eid"])
+        size[r["q"]] = size.get(r["q"], 0) + 1
+    for q, tip, t in asked:
+        fit = sorted(e for a, e, ts in rows if a == tip and (ts <= t if backward else ts >= t))
+        assert sorted(got.get(q, []))[:m] == fit[:m]
+        assert set(got.get(q, [])) <= set(fit) and len(got.get(q, [])) == len(set(got.get(q, [])))
+    # Far fewer rows than the hub has transfers: one chunk, and m rows a later sibling.
+    assert max(size.values()) < 4 + 7 * 4 * m
+
+
+def test_trails_of_a_hub_read_little(frame):
+    """Every partial trail ends at a hub with thousands of transfers; rows stay with seeds and beam."""
+    rows = [("hub", f"x{i % 50}", 1.0, T0 + i * M, "UPI", 2 * i) for i in range(3_000)]
+    rows += [(f"x{i % 50}", "hub", 1.0, T0 + i * M, "UPI", 2 * i + 1) for i in range(3_000)]
+    seeds = [(f"s{i}", "hub", T0 + i * 100 * M) for i in range(5)]
+    found = H.trails(frame(seeds, "seed_id string, account_id string, seed_ts timestamp"), frame(rows, EDGE), "forward", max_hops=4, k=3)
+    got = {}
+    for r in found.orderBy("seed_id", "rank").collect():
+        got.setdefault(r["seed_id"], []).append(tuple(r["edge_ids"]))
+    for i in range(5):
+        first = 200 * i
+        out = [e for e in range(first, first + 400, 2)]
+
+        def walk(path):
+            if len(path) == 4:
+                yield path
+                return
+            tip = "hub" if len(path) % 2 == 0 else f"x{path[-1] // 2 % 50}"
+            for e in (out if tip == "hub" else [e for e in range(first + 1, first + 400, 2) if f"x{e // 2 % 50}" == tip]):
+                if e not in path:
+                    yield from walk((*path, e))
+
+        walks = walk(())
+        assert got[f"s{i}"] == [next(walks) for _ in range(3)]
+
+
 def test_chain_and_repeat_accounts_are_flagged(frame):
     schema = "graph_id string, src string, dst string, amount double, ts timestamp, transaction_id long"
     line = [("line", f"n{i}", f"n{i + 1}", 10.0 + i) for i in range(7)] + [("line", "n0", "n2", 3.0), ("line", "a", "n1", 4.0)]
