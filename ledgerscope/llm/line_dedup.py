@@ -1,15 +1,20 @@
 """Line dedup by pairwise alignment.
 
-Lines are hashed after folding case and blanks.  Each repeated line links the documents
-that hold it to the first of them (smallest id), so pairs grow with the line occurrences
-and not with the square of a group; no line is too frequent to be followed.  For each
-pair, only the lines they share travel, with their places in both documents.
+Lines are hashed after folding case and blanks.  A block is a run of neighbouring lines
+with ``MIN_WORDS`` words or more.  At each line the shortest block that starts there and
+the shortest that ends there are its keys; every line of a block that two documents share
+lies in such a key that both have.  Each key links the documents that hold it to the first
+of them (smallest id), so pairs grow with the keys and not with the square of a group; no
+key is too frequent to be followed.  For each pair, only the keys they share travel, with
+their places in both documents.
 
 The pair is aligned by patience diff: lines rare in the pair, that is unique in both, are
-anchors; the longest increasing chain of anchors is kept; the gaps between are aligned in
-the same way; and every anchor grows over equal neighbours.  Runs of aligned neighbouring
-lines are common blocks.  Blocks of ``MIN_WORDS`` words or more are deleted from the
-later document.
+anchors (where a gap has none, equal occurrences are numbered and serve instead); the
+longest increasing chain of anchors is kept; the gaps between are aligned in the same way;
+and every anchor grows over equal neighbours.  Runs of aligned neighbouring lines are
+common blocks.  Blocks of ``MIN_WORDS`` words or more are deleted from the later document.
+Keys that the chain had to leave out, because they stand in another order, are aligned on
+their own.  So a line goes exactly if it lies in a block that any earlier document has too.
 
 Defined results: null and empty texts have no lines; blank lines are never deleted and do
 not part a block; a line repeated within one document only is left alone; rows that repeat
@@ -82,6 +87,8 @@ def align(own: dict[int, int], other: dict[int, int]) -> list[tuple[int, int]]:
                 seen[h] = -1 if h in seen else i
             once.append(seen)
         anchors = _chain(sorted((i, once[1][h]) for h, i in once[0].items() if i >= 0 and once[1].get(h, -1) >= 0))
+        if not anchors:
+            anchors = _chain(_numbered(own, places[0][a0:a1], a0, other, places[1][b0:b1], b0))
         if not anchors:
             continue
         low_a, low_b = a0, b0
@@ -102,6 +109,71 @@ def align(own: dict[int, int], other: dict[int, int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _numbered(own, a: list[int], a0: int, other, b: list[int], b0: int) -> list[tuple[int, int]]:
+    """The n-th occurrence of a line here and the n-th there."""
+    waiting: dict[int, list[int]] = {}
+    for j, place in enumerate(b, b0):
+        waiting.setdefault(other[place], []).append(j)
+    turn: dict[int, int] = {}
+    out = []
+    for i, place in enumerate(a, a0):
+        h = own[place]
+        n = turn.get(h, 0)
+        if n < len(waiting.get(h, ())):
+            out.append((i, waiting[h][n]))
+            turn[h] = n + 1
+    return out
+
+
+def keys_of(lines: list[tuple[int, int]], least: int = MIN_WORDS) -> dict[tuple[int, ...], list[int]]:
+    """Line hashes of the shortest blocks that start or end at a line, and where they start."""
+    out: dict[tuple[int, ...], list[int]] = {}
+    n, stop, total = len(lines), 0, 0
+    spans: dict[int, set[int]] = {}
+    for start in range(n):
+        while stop < n and total < least:
+            total += lines[stop][1]
+            stop += 1
+        if total < least:
+            break
+        spans.setdefault(start, set()).add(stop)
+        total -= lines[start][1]
+    start, total = n, 0
+    for stop in range(n, 0, -1):
+        while start and total < least:
+            start -= 1
+            total += lines[start][1]
+        if total < least:
+            break
+        spans.setdefault(start, set()).add(stop)
+        total -= lines[stop - 1][1]
+    for start in sorted(spans):
+        for stop in sorted(spans[start]):
+            out.setdefault(tuple(h for h, _ in lines[start:stop]), []).append(start)
+    return out
+
+
+def shared_places(keys: list[tuple[list[int], list[int], list[int], list[int]]], least: int = MIN_WORDS) -> list[int]:
+    """Places of the later document in blocks it shares: ``keys`` are line hashes, words, and places in both."""
+    own: dict[int, int] = {}
+    other: dict[int, int] = {}
+    words: dict[int, int] = {}
+    for hashes, counts, at, other_at in keys:
+        for shift, (h, w) in enumerate(zip(hashes, counts)):
+            for p in at:
+                own[p + shift], words[p + shift] = h, w
+            for p in other_at:
+                other[p + shift] = h
+    gone = set(blocks(align(own, other), words, least))
+    for hashes, _, at, other_at in keys:
+        there = {other_at[0] + shift: h for shift, h in enumerate(hashes)}
+        for p in at:
+            here = {p + shift: h for shift, h in enumerate(hashes)}
+            if not gone.issuperset(here):
+                gone.update(blocks(align(here, there), words, least))
+    return sorted(gone)
+
+
 def _next(own, other, places, i: int, j: int) -> bool:
     """Whether places ``i`` and ``i + 1`` follow on each other in both documents with equal lines."""
     a, b = places
@@ -130,6 +202,14 @@ def blocks(aligned: list[tuple[int, int]], words: dict[int, int], least: int = M
     return out
 
 
+def _key(hashes: tuple[int, ...]) -> int:
+    """One line's own hash, or a hash of several."""
+    if len(hashes) == 1:
+        return hashes[0]
+    h = xxhash.xxh64_intdigest(np.array(hashes, np.int64).tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _identified(docs: DataFrame, doc_id: str, text: str) -> list:
     """A row's identity: two 64-bit hashes of its id and text."""
     th = F.xxhash64(F.coalesce(column(text), F.lit("")))
@@ -145,20 +225,21 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         def work(texts):
             out = []
             for t in as_bytes(texts):
-                found: dict[int, list] = {}
                 lines = lines_of(t)
-                for place, (h, words) in enumerate(lines):
-                    found.setdefault(h, [[], words])[0].append(place)
-                out.append({"n": len(lines), "lines": [{"h": h, "at": at, "words": w} for h, (at, w) in found.items()]})
+                keys = [
+                    {"h": _key(key), "at": at, "hashes": key, "words": [w for _, w in lines[at[0] : at[0] + len(key)]]}
+                    for key, at in keys_of(lines, least).items()
+                ]
+                out.append({"n": len(lines), "keys": keys})
             return out
 
         return work
 
-    kind = "n int, lines array<struct<h: long, at: array<int>, words: int>>"
+    kind = "n int, keys array<struct<h: long, at: array<int>, hashes: array<long>, words: array<int>>>"
     # Hashes and places only; read three times.
     hashed = map_rows(source, ["id", "uid", "th"], [F.col("text")], kind, setup).select("row.*", "result.*")
     hashed = hashed.dropDuplicates(["uid", "th"]).checkpoint()
-    held = hashed.select(F.struct(F.isnull("id").alias("none"), "id", "th", "uid").alias("doc"), F.explode("lines").alias("l"))
+    held = hashed.select(F.struct(F.isnull("id").alias("none"), "id", "th", "uid").alias("doc"), F.explode("keys").alias("l"))
     held = held.select("doc", "l.*")
     ends = held.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last")
     repeated = held.join(ends.select("h", "first"), "h")
@@ -166,22 +247,16 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     later = repeated.filter("doc <> first").join(firsts, "h")
     pairs = later.select(
         F.col("doc.uid").alias("uid"), F.col("doc.th").alias("th"), F.col("first.uid").alias("e_uid"), F.col("first.th").alias("e_th"),
-        "h", "words", "at", "other_at",
+        "h", "hashes", "words", "at", "other_at",
     )
 
     def work(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[dict]:
         for part in parts:
             edges = starts_of(part["uid"], part["th"], part["e_uid"], part["e_th"])
             made: dict[str, list] = {"uid": [], "th": [], "gone": []}
-            hashes, count = part["h"].tolist(), part["words"].tolist()
+            columns = [part[c] for c in ("hashes", "words", "at", "other_at")]
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                own, other, words = {}, {}, {}
-                for k in range(a, b):
-                    for p in part["at"][k].tolist():
-                        own[p], words[p] = hashes[k], count[k]
-                    for p in part["other_at"][k].tolist():
-                        other[p] = hashes[k]
-                gone = blocks(align(own, other), words, least)
+                gone = shared_places([tuple(c[k].tolist() for c in columns) for k in range(a, b)], least)
                 if gone:
                     made["uid"].append(part["uid"][a])
                     made["th"].append(part["th"][a])

@@ -30,7 +30,7 @@ def recall(got, want):
 
 
 def test_query_recall(spark):
-    for folder in ("/root/testdata/sf0.01", "/root/testdata/check_s"):
+    for folder in ("/root/testdata/sf0.01", "/root/testdata/sf0.1"):
         rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
         want = brute(rows)
         got = QUERIES["op9_neighbours"][0](spark, folder).collect()
