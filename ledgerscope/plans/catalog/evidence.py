@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerscope.functions.vectors import top_contributions
 from ledgerscope.operators import committee as M
 from ledgerscope.operators import evidence as E
 from ledgerscope.operators import gates as G
@@ -11,7 +12,7 @@ from ledgerscope.operators.graph.features import account_graph_features
 from ledgerscope.plans.catalog import Registry
 from ledgerscope.plans.catalog.gates import BIPARTITE_SQL, CASH_SQL, SINK_SQL, TERMINAL_SQL, aged_edges
 from ledgerscope.plans.catalog.graph import all_trails
-from ledgerscope.plans.catalog.models import COMMITTEE_SQL
+from ledgerscope.plans.catalog.models import COMMITTEE_SQL, explained
 from ledgerscope.plans.catalog.profile import r
 from ledgerscope.plans.catalog.rules import CONTEXT_SQL, FINGERPRINT_SQL, context, feature_map
 from ledgerscope.plans.scoring import score_payments
@@ -172,6 +173,27 @@ def _(spark, d):
     )
 
 
+# The same report with the boosted model's own leading features.
+@q("e5_report_factors")
+def _(spark, d):
+    top = explained(spark, d).select(
+        F.col("o_orderkey").alias("transaction_id"), top_contributions(F.col("contributions"), 5).alias("top")
+    )
+    drafts = E.report_draft(V.alerts(spark, d), V.txn(spark, d), top)
+    return drafts.select("alert_id", "narrative", F.col("risk_assessment.fraud_score").alias("fraud_score"))
+
+
+# Trails with their counts: ten hops have no SQL form, the trails themselves are compared
+# with enumeration in the tests.
+@q("e7_trail_counts")
+def _(spark, d):
+    packages = E.trail_package(V.alerts(spark, d), all_trails(spark, d, "forward"), all_trails(spark, d, "backward"))
+    longest = lambda side: F.coalesce(F.array_max(F.transform(f"{side}_paths", lambda p: p["hops"])), F.lit(0))
+    return packages.select(
+        "alert_id", "forward_hops", "backward_hops", longest("forward").alias("forward_longest"), longest("backward").alias("backward_longest")
+    )
+
+
 @q(
     "e6_report_payload",
     with_views(

@@ -47,7 +47,8 @@ def _(spark, d):
     return r(B.undirected(graph(spark, d)), "weight")
 
 
-_ROUNDS = 8
+# The operator's own rounds and tolerance: the first round that changes less counts.
+_ROUNDS, _TOLERANCE = 100, 1e-6
 PAGERANK_SQL = (
     SIMPLE_SQL
     + """, seeded AS MATERIALIZED (SELECT id FROM nodes WHERE id IN (SELECT account_id FROM seeds)),
@@ -62,15 +63,21 @@ PAGERANK_SQL = (
     FROM base b LEFT JOIN (SELECT tr.dst, sum(r.rk * tr.share) AS s FROM tr JOIN r{i - 1} r ON tr.src = r.id GROUP BY tr.dst) c ON b.id = c.dst)"""
         for i in range(1, _ROUNDS + 1)
     )
+    + ", changes AS ("
+    + " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.rk - b.rk)) AS change FROM r{i} a JOIN r{i - 1} b USING (id)" for i in range(1, _ROUNDS + 1))
+    + f"""), settled AS MATERIALIZED (SELECT coalesce(min(i) FILTER (change < {_TOLERANCE} * (SELECT count(*) FROM nodes)), {_ROUNDS}) AS i FROM changes),
+  ranks AS ("""
+    + " UNION ALL ".join(f"SELECT id, rk FROM r{i} WHERE {i} = (SELECT i FROM settled)" for i in range(1, _ROUNDS + 1))
+    + ")"
 )
 
 
 @q(
     "g3_pagerank",
-    with_views("edges seeds", PAGERANK_SQL + f" SELECT id AS account_id, round(rk, 8) AS pagerank_fraud_seeded FROM r{_ROUNDS}"),
+    with_views("edges seeds", PAGERANK_SQL + " SELECT id AS account_id, round(rk, 8) AS pagerank_fraud_seeded FROM ranks"),
 )
 def _(spark, d):
-    ranks = personalized_pagerank(graph(spark, d), V.seeds(spark, d), iters=_ROUNDS, tol=None)
+    ranks = personalized_pagerank(graph(spark, d), V.seeds(spark, d))
     return r(ranks, "pagerank_fraud_seeded", places=8)
 
 
@@ -79,11 +86,11 @@ def _(spark, d):
     with_views(
         "edges seeds",
         PAGERANK_SQL
-        + f" SELECT id AS account_id, round(CASE WHEN rk <= 0 THEN 10.0 ELSE greatest(10 * (1 - least(rk * 100, 1.0::DOUBLE)), 1.0::DOUBLE) END, 6) AS shortest_path_to_fraud FROM r{_ROUNDS}",
+        + " SELECT id AS account_id, round(CASE WHEN rk <= 0 THEN 10.0 ELSE greatest(10 * (1 - least(rk * 100, 1.0::DOUBLE)), 1.0::DOUBLE) END, 6) AS shortest_path_to_fraud FROM ranks",
     ),
 )
 def _(spark, d):
-    ranks = personalized_pagerank(graph(spark, d), V.seeds(spark, d), iters=_ROUNDS, tol=None)
+    ranks = personalized_pagerank(graph(spark, d), V.seeds(spark, d))
     rows = B.fraud_distance_proxy(ranks).select("account_id", "shortest_path_to_fraud")
     return r(rows, "shortest_path_to_fraud", places=6)
 

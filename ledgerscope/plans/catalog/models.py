@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ledgerscope import constants as C
+from ledgerscope.functions.vectors import top_contributions
 from ledgerscope.operators import bridges as B
 from ledgerscope.operators import committee as M
+from ledgerscope.operators import explain as X
 from ledgerscope.operators import models as L
 from ledgerscope.operators import rules as O
 from ledgerscope.operators.profile import set_features
@@ -431,10 +433,14 @@ def _(spark, d):
     return out.groupBy("part", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def boosted(spark, d):
+    rows = _training(spark, d)
+    return rows, L.train_calibrated(rows, _BRIDGED, "o_orderkey", depth=4, rounds=10)
+
+
 @q("m2_m4_boosted_scorer")
 def _(spark, d):
-    rows = _training(spark, d)
-    model = L.train_calibrated(rows, _BRIDGED, "o_orderkey", depth=4, rounds=10)
+    rows, model = boosted(spark, d)
     scored = L.scorer_a(rows, model)
     return scored.select("o_orderkey", "scorer_a_score", "scorer_a_confidence", "scorer_a_missing_flag")
 
@@ -494,6 +500,27 @@ def _(spark, d):
     return M.top_n_contributions(L.linear_contributions(rows, model, _BRIDGED, "o_orderkey"), "o_orderkey", 3)
 
 
+def explained(spark, d):
+    """The boosted model's own contributions for every payment."""
+    rows, model = boosted(spark, d)
+    return X.tree_contributions(rows, model.base, _BRIDGED, "o_orderkey")
+
+
+# Every row's contributions, and whether they add up to the model's own probability.
+@q("m16_tree_contributions")
+def _(spark, d):
+    rows, model = boosted(spark, d)
+    told = X.tree_contributions(rows, model.base, _BRIDGED, "o_orderkey")
+    total = F.col("expected") + F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["contribution"])
+    scored = L.predict(model.base, rows, _BRIDGED, "p").select("o_orderkey", "p")
+    return told.join(scored, "o_orderkey").select(
+        "o_orderkey",
+        "log_odds",
+        top_contributions(F.col("contributions"), 3).alias("top"),
+        (F.abs(1 / (1 + F.exp(-total)) - F.col("p")) < 1e-9).alias("adds_up"),
+    )
+
+
 @q(
     "o3_top_contributions",
     with_views(
@@ -504,8 +531,6 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    from ledgerscope.functions.vectors import top_contributions
-
     parts = F.array(
         *[F.struct(F.lit(s).alias("feature"), (F.col(f"scorer_{s}_score") - 0.5).alias("contribution")) for s in _S]
     )

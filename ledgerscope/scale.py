@@ -23,18 +23,23 @@ HOT_ROWS = 1_000_000
 HOT_ROWS_CONF = "spark.ledgerscope.hotRows"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` on reliable storage and forget how it was made."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; set up on first use."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
             # A folder of this machine serves a local session only.
-            if not context.master.startswith("local"):
+            if not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             shared = tempfile.mkdtemp(prefix="ledgerscope-")
         context.setCheckpointDir(shared)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` on reliable storage and forget how it was made."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
