@@ -34,7 +34,7 @@ def test_columns_and_order(kept):
 
 
 def test_each_stage_against_plain_python(kept):
-    from test_line_dedup import lines
+    from test_line_dedup import brute
     from test_simhash import plain_classes, plain_print
 
     raw = {r.doc_id: r for r in kept[""].collect()}
@@ -45,20 +45,10 @@ def test_each_stage_against_plain_python(kept):
     judged = language_id.Parser(model)(pa.array([r.text for r in raw.values()]))
     assert set(stage1) == {i for i, j in zip(raw, judged) if j["lang_pred"] != "und" and j["known"] >= 0.5}
 
-    held = {i: lines(r.text) for i, r in sorted(stage1.items())}
-    first = {}
-    for i, own in held.items():
-        for h in own:
-            first.setdefault(h, i)
     texts = {}
-    for i, own in held.items():
-        gone = set()
-        for e in {first[h] for h in own} - {i}:
-            mine = {p: h for p, h in enumerate(own) if first[h] == e}
-            theirs = {p: h for p, h in enumerate(held[e]) if h in set(mine.values())}
-            gone.update(line_dedup.blocks(line_dedup.align(mine, theirs), {p: len(h.split()) for p, h in mine.items()}))
-        if not gone or len(gone) < len(own):
-            texts[i] = line_dedup.cut_lines(stage1[i].text, sorted(gone))
+    for i, (n, gone) in brute([(i, r.text) for i, r in sorted(stage1.items())]).items():
+        if not gone or len(gone) < n:
+            texts[i] = line_dedup.cut_lines(stage1[i].text, gone)
     assert {r.doc_id: r.text for r in kept["line dedup"].collect()} == texts
 
     label = plain_classes([plain_print(t) for t in texts.values()])
