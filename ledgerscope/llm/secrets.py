@@ -6,15 +6,21 @@ candidates are long runs of token characters, split at '=' and '.', and their pa
 its characters (hex, base 32, base 36, base 62, base 64), and three tests ask whether it
 could be drawn at random from that alphabet: a chi-squared test of uniformity over the
 alphabet (in classes, so that short strings have enough in each), a runs test about the
-middle of the alphabet, and a lag-one serial correlation.  A random secret passes all; an
-identifier, a path or prose fails.
+middle of the alphabet, and a lag-one serial correlation.  A random secret passes all.
 
 The three p-values join by Bonferroni.  Candidates of similar length and equal encoding
 form one family, and Benjamini-Hochberg is applied within it: rejected candidates are
 structured text.  Families make the control aware of length: short strings carry little
-evidence and are not judged by the same cut as long ones.  The cut of a family comes from
-counts over all documents on a fixed grid of p-values, rounded to the careful side, so no
-list of candidates is gathered anywhere.
+evidence and are not judged by the same cut as long ones.
+
+Passing the battery is not enough, as short identifiers pass it for lack of evidence.  So
+each candidate is also held against an explicit model of structured tokens: runs of words,
+capitalised words and digits, with letter pairs fitted on all texts.  The likelihood of
+the uniform draw over that of the model is an e-value against "structured" (zero where the
+battery rejects), and the e-value form of Benjamini-Hochberg over all candidates bounds the
+share of structured tokens among those *reported* by ``FALSE_DISCOVERIES``, whatever their
+dependence, as far as the model holds.  Both cuts come from counts over all documents on a
+fixed grid, rounded to the careful side, so no list of candidates is gathered anywhere.
 
 Defined results: null is the empty text; empty texts have no spans; texts are scanned
 whole; repeated documents get equal spans; overlapping spans of different kinds all stay,
@@ -27,16 +33,22 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerscope.llm.frames import as_bytes, column, map_rows
+from ledgerscope.llm.frames import as_bytes, column, flat, map_rows, slices, small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_LENGTH = 20
 FALSE_DISCOVERIES = 0.01
-# p-values on a grid of powers of two; a family is an encoding and a length class.
+# Share of truly random tokens the battery may take for structured.
+BATTERY_ERRORS = 0.01
+# p-values and e-values on grids of powers of two; a family is an encoding and a length class.
 GRID = 40
+E_GRID = 100
+# A run of one kind goes on with this probability.
+GOES_ON = 0.85
 _ASSIGN = re.compile(
     rb"(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]"
     rb"|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -133,6 +145,80 @@ def combined(token: str, encoding: str) -> float:
     return min(1.0, 3 * min(battery(token, encoding)))
 
 
+class Words:
+    """Structured tokens: runs of words, capitalised words, digits and signs.
+
+    ``counts[a, b]``: letter ``b`` after letter ``a`` (26: at the start of a run of
+    letters), case folded; one is added to each.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        smooth = counts.astype(np.float64) + 1
+        self.pair = np.log2(smooth / smooth.sum(axis=1, keepdims=True)).tolist()
+
+    def bits(self, token: str) -> float:
+        """log2 of the token's probability, given its length."""
+        on, new = math.log2(GOES_ON), math.log2((1 - GOES_ON) / 4)
+        total, before, letter = 0.0, "", 26
+        for c in token:
+            if "a" <= c <= "z" or "A" <= c <= "Z":
+                kind, at = ("l" if c >= "a" else "u"), ord(c) & 31
+                # After a capital either case goes on.
+                goes_on = before == "u" or (before == "l" and kind == "l")
+                total += (on - (before == "u")) if goes_on else new
+                total += self.pair[letter if goes_on else 26][at - 1]
+                letter = at - 1
+            else:
+                kind = "d" if c.isdigit() else "o"
+                total += on if before == kind else new
+                total -= math.log2(10) if kind == "d" else 3
+            before = kind
+        return total
+
+
+def pair_counts(array) -> np.ndarray:
+    """Letter pairs of a batch of texts, case folded; row 26: letters after anything else."""
+    total = np.zeros((27, 26), np.int64)
+    for part in slices(array):
+        raw, at = flat(part)
+        if not len(raw):
+            continue
+        letter = (raw | 0x20) - np.uint8(0x61)
+        code = np.where((letter < 26) & (raw < 0x80), letter, 26).astype(np.int64)
+        before = np.concatenate(([26], code[:-1]))
+        starts = at[:-1]
+        before[starts[starts < len(raw)]] = 26
+        hit = code < 26
+        total += np.bincount(before[hit] * 26 + code[hit], minlength=27 * 26).reshape(27, 26)
+    return total
+
+
+def fit_words(docs: DataFrame, text: str = "text") -> Words:
+    """Letter pairs of all texts: tasks count, Spark adds up 27 x 26 numbers."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        total = np.zeros((27, 26), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += pair_counts(batch.column(0))
+        at = np.flatnonzero(total.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total.ravel()[at])], ["at", "n"])
+
+    found = docs.select(column(text).alias("t")).mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    counts = np.zeros(27 * 26, np.int64)
+    for row in found.collect():
+        counts[row["at"]] = row["n"]
+    return Words(counts.reshape(27, 26))
+
+
+def e_grade(token: str, encoding: str, words: Words) -> int:
+    """floor(log2(e)) within the grid: how much likelier a uniform draw gives the token."""
+    body = token.rstrip("=")
+    e = -len(body) * math.log2(len(ENCODINGS[encoding])) - words.bits(body)
+    return int(max(0, min(E_GRID, math.floor(e))))
+
+
 def length_class(n: int) -> int:
     """20-23, 24-31, 32-47, 48-63, ...: two classes to a doubling."""
     return int(2 * math.log2(max(n, 1)))
@@ -160,13 +246,13 @@ def base_spans(text: bytes) -> list[tuple[str, int, int]]:
 
 
 def candidates(
-    text: bytes, base: list[tuple[str, int, int]]
-) -> list[tuple[int, int, str, float, str | None, int | None]]:
-    """Byte spans of parts of other token runs with an encoding, and their combined p-value.
+    text: bytes, base: list[tuple[str, int, int]], words: Words
+) -> list[tuple[int, int, str, int, int, str | None, int | None, int | None]]:
+    """Byte spans of parts of other token runs: encoding, grade of the battery, and of the e-value.
 
     Runs are split at '=' and '.', which no encoding holds.  What is left is tested whole
     and, where it has them, between its '/', '-' and '_'; such a part also names family
-    and grade of the whole, if that was tested.
+    and grades of the whole, if that was tested.
     """
     if not any(len(w) >= MIN_LENGTH for w in text.translate(_TOKEN_ONLY).split()):
         return []
@@ -178,27 +264,31 @@ def candidates(
             return None
         return infer(text[a:b].decode())
 
+    def judged(a: int, b: int, encoding: str) -> tuple[int, int]:
+        token = text[a:b].decode()
+        return grade_of(combined(token, encoding)), e_grade(token, encoding, words)
+
     for m in _TOKEN_RUN.finditer(text):
         for piece in _PIECE.finditer(text, *m.span()):
             a, b = piece.span()
             a, b = b - len(piece[0].lstrip(b"-_")), a + len(piece[0].rstrip(b"-_"))
-            encoding, whole = tested(a, b), (None, None)
+            encoding, whole = tested(a, b), (None, None, None)
             if encoding:
-                p = combined(text[a:b].decode(), encoding)
-                out.append((a, b, encoding, p, None, None))
-                whole = (f"{encoding}:{length_class(b - a)}", grade_of(p))
+                grades = judged(a, b, encoding)
+                out.append((a, b, encoding, *grades, None, None, None))
+                whole = (f"{encoding}:{length_class(b - a)}", *grades)
             for part in _PART.finditer(text, a, max(a, b)):
                 x, y = part.span()
                 inner = tested(x, y) if y - x < b - a else None
                 if inner:
-                    out.append((x, y, inner, combined(text[x:y].decode(), inner), *whole))
+                    out.append((x, y, inner, *judged(x, y, inner), *whole))
     return out
 
 
 RESULT = (
     "base array<struct<kind: string, at: int, upto: int>>, "
-    "tested array<struct<at: int, upto: int, family: string, grade: int, "
-    "whole: string, whole_grade: int>>"
+    "tested array<struct<at: int, upto: int, family: string, grade: int, odds: int, "
+    "whole: string, whole_grade: int, whole_odds: int>>"
 )
 
 
@@ -207,7 +297,7 @@ def grade_of(p: float) -> int:
     return min(GRID, int(-math.log2(p))) if p > 0 else GRID
 
 
-def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, words: Words, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` (carried columns) and ``result``: base spans and tested candidates."""
 
     def setup():
@@ -215,7 +305,7 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
             out = []
             for t in as_bytes(texts):
                 base = base_spans(t)
-                tested = candidates(t, base)
+                tested = candidates(t, base, words)
                 at = _points(t, [(a, b) for _, a, b in base] + [t[:2] for t in tested])
                 out.append(
                     {
@@ -225,10 +315,10 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
                         ),
                         "tested": [
                             {
-                                "at": a, "upto": b, "family": f"{e}:{length_class(b - a)}", "grade": grade_of(p),
-                                "whole": whole, "whole_grade": whole_grade,
+                                "at": a, "upto": b, "family": f"{e}:{length_class(b - a)}", "grade": grade, "odds": odds,
+                                "whole": whole, "whole_grade": whole_grade, "whole_odds": whole_odds,
                             }
-                            for (_, _, e, p, whole, whole_grade), (a, b) in zip(tested, at[len(base) :])
+                            for (_, _, e, grade, odds, whole, whole_grade, whole_odds), (a, b) in zip(tested, at[len(base) :])
                         ],
                     }
                 )
@@ -239,20 +329,19 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
     return map_rows(docs, carry or docs.columns, [column(text)], RESULT, setup)
 
 
-def structured_grades(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> dict[str, int]:
-    """Least grade of each family that Benjamini-Hochberg rejects as not random.
+def counted(scanned: DataFrame) -> list[tuple[str, int, int, int]]:
+    """Candidates per family and grades: at most encodings x length classes x GRID x E_GRID rows."""
+    tested = scanned.select(F.explode("result.tested").alias("t"))
+    rows = tested.groupBy("t.family", "t.grade", "t.odds").count().collect()
+    return [tuple(r) for r in rows]
 
-    Counts per family and grade: at most encodings x length classes x GRID rows.
-    """
-    counts = (
-        scanned.select(F.explode("result.tested").alias("t"))
-        .groupBy(F.col("t.family").alias("family"), F.col("t.grade").alias("grade"))
-        .count()
-        .collect()
-    )
+
+def structured_grades(counts: list[tuple[str, int, int, int]], rate: float = BATTERY_ERRORS) -> dict[str, int]:
+    """Least grade of each family that Benjamini-Hochberg rejects as not random."""
     families: dict[str, dict[int, int]] = {}
-    for r in counts:
-        families.setdefault(r["family"], {})[r["grade"]] = r["count"]
+    for family, grade, _, n in counts:
+        of = families.setdefault(family, {})
+        of[grade] = of.get(grade, 0) + n
     cuts = {}
     for family, by in families.items():
         total, rejected, cut = sum(by.values()), 0, GRID + 1
@@ -265,23 +354,40 @@ def structured_grades(scanned: DataFrame, rate: float = FALSE_DISCOVERIES) -> di
     return cuts
 
 
+def reported_odds(counts: list[tuple[str, int, int, int]], cuts: dict[str, int], rate: float = FALSE_DISCOVERIES) -> int:
+    """Least e-value grade that is reported: with ``k`` candidates there or above, ``m / (k * rate)`` is met."""
+    m, by = 0, {}
+    for family, grade, odds, n in counts:
+        m += n
+        if grade < cuts[family]:
+            by[odds] = by.get(odds, 0) + n
+    reported, least = 0, E_GRID + 1
+    for odds in range(E_GRID, -1, -1):
+        reported += by.get(odds, 0)
+        if by.get(odds) and 2.0**odds * reported * rate >= m:
+            least = odds
+    return least
+
+
 def find_secrets(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """``row`` and ``spans``: base spans and random ones, by start, then kind as listed."""
     from ledgerscope.llm.components import use_checkpoints
 
     use_checkpoints(docs.sparkSession)
     # Spans only: small beside the texts, and read twice.
-    scanned = scan(docs, text, carry).checkpoint()
-    cuts = structured_grades(scanned)
+    scanned = scan(docs, fit_words(docs, text), text, carry).checkpoint()
+    counts = counted(scanned)
+    cuts = structured_grades(counts)
+    least = reported_odds(counts, cuts)
     limits = F.create_map(*[x for k, v in sorted(cuts.items()) for x in (F.lit(k), F.lit(v))]) if cuts else None
 
-    def passes(family, grade):
-        return grade < F.coalesce(F.element_at(limits, family), F.lit(0))
+    def passes(family, grade, odds):
+        return (grade < F.coalesce(F.element_at(limits, family), F.lit(0))) & (odds >= least)
 
     def is_random(t):
         # A part of a random whole is reported with it.
-        whole = t["whole"].isNotNull() & passes(F.coalesce(t["whole"], F.lit("")), F.coalesce(t["whole_grade"], F.lit(0)))
-        return passes(t["family"], t["grade"]) & ~whole
+        whole = passes(F.coalesce(t["whole"], F.lit("")), F.coalesce(t["whole_grade"], F.lit(0)), F.coalesce(t["whole_odds"], F.lit(-1)))
+        return passes(t["family"], t["grade"], t["odds"]) & ~whole
 
     kind = "array<struct<kind: string, at: int, upto: int>>"
     if limits is None:

@@ -91,3 +91,69 @@ def test_secrets_inside_names_urls_and_dotted_tokens(spark):
         found = [text[int(a) : int(b)] for kind, a, b in spans if kind == "random"]
         want = [k for k in (*keys, low) if k in text]
         assert len(found) == len(want) and all(f.endswith(k) for f, k in zip(found, want)), (text, r.spans)
+
+
+LEXICON = (
+    "get set user account by id handler test should return when missing load config from yaml file parse request response "
+    "cache index value buffer stream open close read write update delete create list item price order customer name"
+).split()
+
+
+def identifier(rng):
+    words = [rng.choice(LEXICON) for _ in range(rng.randint(4, 7))]
+    digits = str(rng.randint(2, 9999))
+    style = rng.randint(0, 4)
+    if style == 0:
+        words = [w.capitalize() for w in words]
+        words.insert(rng.randint(1, len(words)), digits)
+        return "".join(words)
+    if style == 1:
+        return "_".join(words) + "_" + digits
+    if style == 2:
+        return words[0] + "".join(w.capitalize() for w in words[1:]) + digits
+    if style == 3:
+        return "/".join(words) + "/" + words[0] + digits
+    return "".join(words) + digits
+
+
+def test_few_false_secrets_among_identifiers(spark):
+    """Precision and recall with twenty identifiers to a key, after prose of the same language."""
+    rng = random.Random(21)
+    named = ["getUserAccountById2Handler", "testShouldReturn404WhenMissing", "LoadConfigV2FromYamlFile", "parse_http2_request_headers_v3"]
+    names = sorted({identifier(rng) for _ in range(2_000)} | set(named))
+    keys = {}
+    for name in ("HEX", "base32", "base36", "BASE36", "base62", "base64"):
+        for n in (20, 24, 32, 40, 64):
+            for _ in range(4):
+                token = "".join(rng.choices(s.ENCODINGS[name].replace("/", "").replace("+", ""), k=n))
+                if s.infer(token):
+                    keys[token] = n
+    prose = [" ".join(rng.choices(LEXICON, k=400)) for _ in range(50)]
+    texts = prose + [f"see {n} for more" for n in names] + [f"see {k} for more" for k in keys]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = set()
+    for r in s.report(docs).collect():
+        for x in filter(None, r.spans.split(",")):
+            kind, a, b = x.split(":")
+            if kind == "random":
+                found.add(texts[r.doc_id][int(a) : int(b)])
+    false = [f for f in found if f not in keys]
+    assert len(false) <= 0.01 * max(1, len(found)), false[:5]
+    assert len(found & set(keys)) >= 0.95 * len(keys)
+    assert not any(n in found for n in named)
+
+
+def test_e_values_bound_false_reports():
+    """Tokens drawn from the model of structured tokens itself: reports stay within the bound."""
+    counts = [("base62:9", 0, 0, 9_900), ("base62:9", 0, 30, 100)]
+    assert s.reported_odds(counts, {"base62:9": 5}) == 30
+    assert s.reported_odds([("base62:9", 0, 3, 10_000)], {"base62:9": 5}) == s.E_GRID + 1
+    # What the battery takes for structured has no e-value.
+    assert s.reported_odds(counts, {"base62:9": 0}) == s.E_GRID + 1
+
+
+def test_pair_counts_stop_at_texts():
+    import pyarrow as pa
+
+    got = s.pair_counts(pa.array(["ab", None, "B a", "é", "aB"]))
+    assert got[0, 1] == 2 and got[26, 0] == 3 and got[26, 1] == 1 and got.sum() == 6
