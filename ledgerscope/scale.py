@@ -9,7 +9,6 @@ same on both routes; nothing is sampled, capped or dropped.
 
 from __future__ import annotations
 
-import math
 import tempfile
 from collections.abc import Sequence
 from functools import reduce
@@ -243,59 +242,18 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
     return ranked.filter(F.col("__rn") <= n).drop("__rn")
 
 
-# Rows of one range bucket: what one window task sorts.
-BUCKET_ROWS = 1_000_000
-LEAST_BUCKETS = 64
+# Rows of one range part: what one window task sorts.
+PART_ROWS = 500_000
 
 
-def bucket_count(df: DataFrame, by: str | None) -> int:
-    """Range buckets for ``df``: by its rows, so that no bucket outgrows a task."""
-    most = (df.groupBy(by) if by else df.groupBy()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return max(LEAST_BUCKETS, -(-most // BUCKET_ROWS))
+def range_parts(df: DataFrame, order: Sequence[Column], parts: int | None = None) -> DataFrame:
+    """Rows with ``__part``, ascending along ``order``; stored, as parts must not change between uses.
 
-
-def split_points(df: DataFrame, column: str, by: str | None, buckets: int) -> dict[str, list[float]]:
-    """Range boundaries of ``column`` per ``by`` value (or under ``"all"``).
-
-    The result holds ``buckets`` numbers per ``by`` value; ``by`` is a list of
-    features, so its size grows with rows / BUCKET_ROWS only.  Fixing the boundaries
-    on the driver keeps every later use of them identical.
-    """
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)]) if buckets <= 1_000 else F.transform(
-        F.sequence(F.lit(1), F.lit(buckets - 1)), lambda i: i / float(buckets)
-    )
-    grouped = df.groupBy(F.col(by).cast("string").alias("__by") if by else F.lit("all").alias("__by"))
-    rows = grouped.agg(F.percentile_approx(column, probabilities, max(2_000, 10 * buckets)).alias("points")).collect()
-    return {r["__by"]: sorted({float(p) for p in (r["points"] or [])}) for r in rows}
-
-
-def _with_bucket(df: DataFrame, order: str, by: str | None, buckets: int | None) -> DataFrame:
-    """``__by`` and ``__bucket``: boundaries below the value, found in two levels.
-
-    The boundaries are cut into stretches of about the square root of their number; the
-    value is compared with the first of each stretch, then within one stretch.
+    Part borders come from Spark's own sample of the stored rows.  ``df`` itself is run once.
     """
-    points = split_points(df, order, by, buckets or bucket_count(df, by))
-    value = F.col(order).cast("double")
-    keyed = df.withColumn("__by", F.col(by).cast("string") if by else F.lit("all"))
-    rows = []
-    for name, cuts in points.items():
-        width = max(1, math.isqrt(len(cuts)))
-        rows.append((name, [cuts[i : i + width] for i in range(0, len(cuts), width)], width))
-    if by is None:
-        # One list of boundaries is a constant of the plan, not a join.
-        _, parts, width = rows[0] if rows else (None, [], 1)
-        boundaries = F.array(*[F.lit(p) for p in parts]).cast("array<array<double>>")
-        joined = keyed.withColumn("__parts", boundaries).withColumn("__width", F.lit(width))
-    else:
-        table = df.sparkSession.createDataFrame(rows, "__by string, __parts array<array<double>>, __width int")
-        # Boundaries of one feature: rows / BUCKET_ROWS numbers.
-        joined = keyed.join(F.broadcast(table), keyed["__by"].eqNullSafe(table["__by"])).drop(table["__by"])
-    stretch = F.size(F.filter("__parts", lambda p: p[0] < value))
-    inside = F.size(F.filter(F.element_at("__parts", F.greatest(F.col("__s"), F.lit(1))), lambda p: p < value))
-    bucket = F.when((F.col("__s") == 0) | F.col("__s").isNull(), 0).otherwise((F.col("__s") - 1) * F.col("__width") + inside)
-    placed = joined.withColumn("__s", F.when(F.size("__parts") > 0, stretch).otherwise(0)).withColumn("__bucket", bucket)
-    return placed.drop("__parts", "__width", "__s")
+    stored = cut_lineage(df)
+    parts = parts or max(1, -(-stored.count() // PART_ROWS))
+    return cut_lineage(stored.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
 
 
 def prefix_sums(
@@ -304,48 +262,46 @@ def prefix_sums(
     values: Sequence[str],
     by: str | None = None,
     descending: bool = False,
-    buckets: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Running sums of ``values`` along ``order`` (inclusive), without one global task.
 
     ``df`` has one row per (``by``, ``order``).  Adds ``cum_<value>`` and ``tot_<value>``.
     """
-    return _running(df, order, values, by, descending, buckets, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))
+    return _running(df, order, values, by, descending, parts, F.sum, lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
-def running_max(df: DataFrame, order: str, value: str, buckets: int | None = None) -> DataFrame:
+def running_max(df: DataFrame, order: str, value: str, parts: int | None = None) -> DataFrame:
     """Largest ``value`` so far along ``order`` (inclusive); adds ``cum_<value>``."""
     # greatest() skips nulls, so an empty start leaves the other side.
-    return _running(df, order, [value], None, False, buckets, F.max, F.greatest)
+    return _running(df, order, [value], None, False, parts, F.max, F.greatest)
 
 
-def _running(df, order, values, by, descending, buckets, combine, join_parts):
-    """Range buckets, one window inside each, and the combined value of the buckets before."""
-    keyed = _with_bucket(df, order, by, buckets)
-    parts = keyed.groupBy("__by", "__bucket").agg(*[combine(v).alias(v) for v in values])
+def _running(df, order, values, by, descending, parts, combine, join_parts):
+    """Two passes over range parts: a window inside each, and the combined value of the parts before."""
     direction = F.desc if descending else F.asc
-    along = Window.partitionBy("__by").orderBy(direction("__bucket"))
+    keyed = df.withColumn("__by", F.col(by) if by else F.lit(0))
+    placed = range_parts(keyed, [F.asc("__by"), direction(order)], parts)
+    along = Window.partitionBy("__by").orderBy("__part")
     earlier = along.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("__by")
-    offsets = parts.select(
-        "__by",
-        "__bucket",
+    totals = placed.groupBy("__by", "__part").agg(*[combine(v).alias(v) for v in values])
+    offsets = totals.select(
+        F.col("__by").alias("__of"),
+        F.col("__part").alias("__at"),
         *[combine(v).over(earlier).alias(f"__off_{v}") for v in values],
         *[combine(v).over(whole).alias(f"tot_{v}") for v in values],
     )
     inside = (
-        Window.partitionBy("__by", "__bucket")
-        .orderBy(direction(order))
-        .rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy("__by", "__part").orderBy(direction(order)).rowsBetween(Window.unboundedPreceding, 0)
     )
     for v in values:
-        keyed = keyed.withColumn(f"__in_{v}", combine(v).over(inside))
-    # Bounded broadcast: buckets x by-values rows.
-    joined = keyed.join(F.broadcast(offsets), ["__by", "__bucket"])
+        placed = placed.withColumn(f"__in_{v}", combine(v).over(inside))
+    # One row per part and per ``by`` value in it.
+    joined = placed.join(offsets, (F.col("__part") == F.col("__at")) & F.col("__by").eqNullSafe(F.col("__of")))
     for v in values:
         joined = joined.withColumn(f"cum_{v}", join_parts(F.col(f"__in_{v}"), F.col(f"__off_{v}")))
-    drop = ["__by", "__bucket"] + [f"__in_{v}" for v in values] + [f"__off_{v}" for v in values]
-    return joined.drop(*drop)
+    return joined.drop("__by", "__of", "__part", "__at", *[f"__in_{v}" for v in values], *[f"__off_{v}" for v in values])
 
 
 def exact_quantiles(

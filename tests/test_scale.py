@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.operators import context as X
-from ledgerscope.scale import exact_quantiles, prefix_sums, split_hot, trailing_stats
+from ledgerscope.scale import exact_quantiles, prefix_sums, running_max, split_hot, trailing_stats
 
 
 def _payments(seed=3, rows=120):
@@ -94,7 +94,7 @@ def test_prefix_sums_over_buckets(spark):
     values = list(range(1, 200))
     df = spark.createDataFrame([(float(v), v % 7) for v in values], "x double, w long")
     for descending in (False, True):
-        got = {r["x"]: r["cum_w"] for r in prefix_sums(df, "x", ["w"], descending=descending, buckets=8).collect()}
+        got = {r["x"]: r["cum_w"] for r in prefix_sums(df, "x", ["w"], descending=descending, parts=8).collect()}
         running, expected = 0, {}
         for v in sorted(values, reverse=descending):
             running += v % 7
@@ -102,6 +102,43 @@ def test_prefix_sums_over_buckets(spark):
         assert got == expected
 
 
+def test_scans_by_feature_with_nulls_ties_and_many_parts(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f, float(v), int(w)) for f in ("a", "b", None) for v, w in zip(rng.permutation(60), rng.integers(0, 9, 60))]
+    rows.append(("a", None, 5))
+    df = spark.createDataFrame(rows, "f string, x double, w long")
+    for parts in (1, 3, 17):
+        got = {(r["f"], r["x"]): (r["cum_w"], r["tot_w"]) for r in prefix_sums(df, "x", ["w"], by="f", parts=parts).collect()}
+        for f in ("a", "b", None):
+            mine = sorted((r for r in rows if r[0] == f), key=lambda r: (r[1] is not None, r[1] or 0))
+            total, running = sum(r[2] for r in mine), 0
+            for _, x, w in mine:
+                running += w
+                assert got[f, x] == (running, total)
+    top = running_max(spark.createDataFrame([(float(x), w) for _, x, w in rows[:60]], "x double, w long"), "x", "w", parts=7)
+    best, want = -1, {}
+    for _, x, w in sorted(rows[:60], key=lambda r: r[1]):
+        best = max(best, w)
+        want[x] = best
+    assert {r["x"]: r["cum_w"] for r in top.collect()} == want
+    assert prefix_sums(df.filter("false"), "x", ["w"], by="f").count() == 0
+
+
+def test_scan_runs_its_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    counted = spark.sparkContext.parallelize([(float(i), 1) for i in range(100)], 4).mapPartitions(touch).toDF("x double, w long")
+    out = prefix_sums(counted, "x", ["w"], parts=5)
+    assert out.agg(F.max("cum_w")).first()[0] == 100 and seen.value == 100
+    # Borders are not part of the plan.
+    assert len(out._jdf.queryExecution().executedPlan().toString()) < 20_000
+
+
 def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=301), np.round(rng.exponential(size=77), 1)
