@@ -241,6 +241,41 @@ def conformal_interval(scores: DataFrame, radius: float | None, score: str = "sc
     )
 
 
+def conformal_class_radii(calibration: DataFrame, alpha: float = 0.10, label: str = "label", score: str = "score") -> DataFrame:
+    """``label, radius, n``: per class the ceil((n+1)(1-alpha))-th smallest distance of score and label.
+
+    ``calibration`` must be rows that the scores were not fitted on and that are not
+    judged with the result.  A class with too few rows for the rank has no radius (null):
+    nothing speaks against it.
+    """
+    rows = calibration.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
+        F.col(label).cast("int").alias("label"), F.abs(F.col(label).cast("double") - F.col(score)).alias("v")
+    )
+    counted = rows.groupBy("label", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_sums(counted, "v", ["n"], by="label")
+    # Rounded first, so that (n + 1) * 0.9 is no hair above a whole number.
+    rank = F.ceil(F.round((F.col("tot_n") + 1) * (1 - alpha), 9))
+    reached = (F.col("cum_n") >= rank) & (F.col("cum_n") - F.col("n") < rank)
+    return ranked.groupBy("label").agg(F.max(F.when(reached, F.col("v"))).alias("radius"), F.max("tot_n").alias("n"))
+
+
+def conformal_sets(scores: DataFrame, radii: DataFrame, score: str = "score") -> DataFrame:
+    """Adds ``may_be_clean`` and ``may_be_fraud``: the classes that are near enough to the score.
+
+    Of the rows of either class, at least 1 - alpha keep their own class, however rare
+    the class is.  Without a score both stay.
+    """
+    # One row a class.
+    radius = {r["label"]: r["radius"] for r in radii.collect()}
+
+    def near(c: int) -> Column:
+        if radius.get(c) is None:
+            return F.lit(True)
+        return F.coalesce(F.abs(F.col(score) - c) <= radius[c], F.lit(True))
+
+    return scores.withColumn("may_be_clean", near(0)).withColumn("may_be_fraud", near(1))
+
+
 # ── Prototypes and remark clusters ──────────────────────────────────────────
 
 

@@ -155,6 +155,25 @@ def _(spark, d):
     return r(out.select("transaction_id", "mapie_lower", "mapie_upper"), "mapie_lower", "mapie_upper", places=9)
 
 
+# Payments with an even id calibrate, those with an odd one are judged.
+@q(
+    "m15_class_conditional",
+    with_views(
+        "shadow",
+        CURVE_SQL
+        + """, cal AS (SELECT label, abs(label - score) AS v, row_number() OVER (PARTITION BY label ORDER BY abs(label - score)) AS rk, count(*) OVER (PARTITION BY label) AS n FROM pl WHERE transaction_id % 2 = 0),
+        rad AS (SELECT label, max(v) FILTER (WHERE rk = CAST(ceil(round((n + 1) * 0.9::DOUBLE, 9)) AS BIGINT)) AS q FROM cal GROUP BY label)
+        SELECT transaction_id, coalesce(abs(score - 0) <= (SELECT q FROM rad WHERE label = 0), TRUE) AS may_be_clean, coalesce(abs(score - 1) <= (SELECT q FROM rad WHERE label = 1), TRUE) AS may_be_fraud
+        FROM pl WHERE transaction_id % 2 = 1""",
+    ),
+)
+def _(spark, d):
+    rows = labelled_scores(spark, d)
+    radii = M.conformal_class_radii(rows.filter("transaction_id % 2 = 0"))
+    judged = M.conformal_sets(rows.filter("transaction_id % 2 = 1"), radii)
+    return judged.select("transaction_id", "may_be_clean", "may_be_fraud")
+
+
 # ── Prototypes and remarks ──────────────────────────────────────────────────
 
 

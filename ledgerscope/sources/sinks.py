@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,30 +69,36 @@ def audit_rows(df: DataFrame, event_type: str, model_version: str, payload: list
     )
 
 
-def replace_list(spark: SparkSession, path: str, df: DataFrame) -> int:
+def replace_list(spark: SparkSession, path: str, df: DataFrame) -> str:
     """Swap a whole reference list; an empty input leaves the old list in place.
 
-    The new list is written beside the old ones and named by a pointer row, so a
-    reader sees either the old list or the new one.
+    The new list is written beside the old ones under a name nobody else has, and one
+    pointer row then puts it in force: a reader sees one whole list or another, and two
+    writers at once cannot mix theirs; the later pointer row wins (ties: the larger name).
     """
     if not df.take(1):
         raise ValueError("refusing to replace a list by an empty one")
-    versions = f"{path}/versions"
-    current = list_version(spark, path)
-    version = (current or 0) + 1
-    df.write.mode("overwrite").parquet(f"{versions}/{version}")
-    spark.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{path}/current")
-    return version
-
-
-def list_version(spark: SparkSession, path: str) -> int | None:
-    """Number of the list in force, or None before the first write."""
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    files = pointer.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(pointer):
+    name = uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(f"{path}/versions/{name}")
+    pointer = spark.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("at"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{path}/current")
+    return name
+
+
+def list_version(spark: SparkSession, path: str) -> str | None:
+    """Name of the list in force, or None before the first write."""
+    try:
+        pointers = spark.read.schema("name string, at timestamp").parquet(f"{path}/current")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return spark.read.schema("version long").parquet(f"{path}/current").agg(F.max("version")).first()[0]
+    last = pointers.agg(F.max(F.struct("at", "name")).alias("last")).first()["last"]
+    return last["name"] if last else None
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/versions/{list_version(spark, path)}")
+    name = list_version(spark, path)
+    if name is None:
+        raise ValueError(f"no list was written to {path}")
+    return spark.read.parquet(f"{path}/versions/{name}")

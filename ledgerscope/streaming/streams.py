@@ -6,10 +6,11 @@ exact figures for what arrived too late.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import constants as C
@@ -62,8 +63,10 @@ def patch_latest_flows(flows: DataFrame, features: DataFrame) -> DataFrame:
 def flow_patch_sink(path: str) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` sink: the newest flows of the accounts of a batch, as a delta.
 
-    Features are not rewritten; :func:`patched_features` reads all deltas, so patches of
-    earlier batches last until the next nightly table.
+    Features are not rewritten; :func:`patched_features` reads what all batches left, so
+    patches of earlier batches last until the next nightly table.  Every ``COMPACT_EVERY``
+    batches the newest flows of all accounts are written together, and readers take only
+    the last of those and the deltas after it.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -72,13 +75,45 @@ def flow_patch_sink(path: str) -> Callable[[DataFrame, int], None]:
         )
         # The batch number names the output, so a repeated batch replaces itself.
         newest.select("account_id", "f.*", "end").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            held = left_by_batches(batch.sparkSession, path, batch_id + 1)
+            latest = held.groupBy("account_id").agg(
+                F.max_by(F.struct("inflow_1h", "outflow_1h"), "end").alias("f"), F.max("end").alias("end")
+            )
+            latest.select("account_id", "f.*", "end").write.mode("overwrite").parquet(f"{path}/upto={batch_id}")
 
     return write
 
 
+# Batches between two compactions.
+COMPACT_EVERY = 32
+_PLACE = re.compile(r"/(batch|upto)=(\d+)/")
+
+
+def left_by_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Rows that the batches below ``before`` left: the last compaction and the deltas after it.
+
+    None before the first batch; any other failure to read is an error.
+    """
+    try:
+        files = spark.read.parquet(f"{path}/*").inputFiles()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    places = {(m[1], int(m[2])) for m in map(_PLACE.search, files) if m}
+    places = {p for p in places if before is None or p[1] < before}
+    upto = max((n for kind, n in places if kind == "upto"), default=-1)
+    wanted = [f"{path}/batch={n}" for kind, n in sorted(places) if kind == "batch" and n > upto]
+    if upto >= 0:
+        wanted.append(f"{path}/upto={upto}")
+    return spark.read.parquet(*wanted) if wanted else None
+
+
 def patched_features(features: DataFrame, path: str) -> DataFrame:
     """Features with each account's newest flows of all batches written so far."""
-    return patch_latest_flows(features.sparkSession.read.parquet(path), features)
+    flows = left_by_batches(features.sparkSession, path)
+    return features if flows is None else patch_latest_flows(flows, features)
 
 
 def stream_dedupe(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -152,6 +187,10 @@ def score_batch_sink(
             kept = batch.sparkSession.read.parquet(f"{path}/novelty_queue/batch={batch_id}")
             put(escalation_events(kept), "escalations")
             put(run_ends(kept), "fingerprint_runs")
+            if (batch_id + 1) % COMPACT_EVERY == 0:
+                runs = left_by_batches(batch.sparkSession, f"{path}/fingerprint_runs", batch_id + 1)
+                put_runs = runs.groupBy("fingerprint").agg(F.max(F.struct("at", "hits")).alias("l")).select("fingerprint", "l.at", "l.hits")
+                put_runs.write.mode("overwrite").parquet(f"{path}/fingerprint_runs/upto={batch_id}")
 
     return write
 
@@ -171,10 +210,8 @@ def continue_runs(
     run, that is before its first gap, continue the stored run if it is near enough.  A
     batch that is run again reads only the batches before it.
     """
-    spark = queue.sparkSession
-    try:
-        stored = spark.read.parquet(path).filter(F.col("batch") < batch_id)
-    except AnalysisException:
+    stored = left_by_batches(queue.sparkSession, path, batch_id)
+    if stored is None:
         return queue
     newest = stored.groupBy(F.col("fingerprint").alias("novelty_fingerprint")).agg(F.max(F.struct("at", "hits")).alias("before"))
     order = Window.partitionBy("novelty_fingerprint").orderBy("created_at", "fingerprint_occurrences")

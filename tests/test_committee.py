@@ -156,6 +156,30 @@ def test_conformal_interval_covers(frame):
     assert (row["mapie_lower"], row["mapie_upper"]) == pytest.approx((0.93, 1.0))
 
 
+def test_class_conditional_sets_cover_each_class(frame):
+    """Fraud is rare and badly scored: a common radius fails it, its own does not."""
+    rnd = random.Random(7)
+    rows = []
+    for i in range(6_000):
+        label = int(rnd.random() < 0.05)
+        rows.append((i, label, min(1.0, max(0.0, rnd.gauss(0.45, 0.2) if label else rnd.gauss(0.1, 0.08)))))
+    df = frame(rows, "k long, label int, score double")
+    calibration, test = df.filter("k % 2 = 0"), df.filter("k % 2 = 1")
+    radii = M.conformal_class_radii(calibration)
+    for r in radii.collect():
+        v = sorted(abs(x[1] - x[2]) for x in rows if x[0] % 2 == 0 and x[1] == r["label"])
+        assert r["n"] == len(v) and r["radius"] == v[-(-(len(v) + 1) * 9 // 10) - 1]
+    sets = M.conformal_sets(test, radii)
+    told = {r["label"]: r["c"] for r in sets.groupBy("label").agg(F.avg(F.when(F.col("label") == 1, F.col("may_be_fraud")).otherwise(F.col("may_be_clean")).cast("int")).alias("c")).collect()}
+    assert told[0] > 0.88 and told[1] > 0.82
+    pooled = M.conformal_radius(calibration)
+    assert test.filter("label = 1").filter(F.abs(1 - F.col("score")) <= pooled).count() < 0.5 * test.filter("label = 1").count()
+    few = M.conformal_class_radii(frame([(0, 1, 0.5), (1, 0, None), (2, None, 0.1)], "k long, label int, score double"))
+    assert [tuple(r) for r in few.collect()] == [(1, None, 1)]
+    both = M.conformal_sets(test.limit(5), few).collect()
+    assert all(r["may_be_clean"] and r["may_be_fraud"] for r in both)
+
+
 def test_prototypes_in_blocks_match_brute_force(spark):
     rng = np.random.default_rng(0)
     v, p = rng.normal(size=(23, 6)).round(1), rng.normal(size=(37, 6)).round(1)

@@ -153,12 +153,14 @@ def test_append_only_sinks(spark, frame, tmp_path):
 
 def test_list_is_replaced_whole_and_never_by_nothing(spark, frame, tmp_path):
     path = str(tmp_path / "ofac")
-    assert sinks.replace_list(spark, path, frame([("a",), ("b",)], "entry string")) == 1
-    assert sinks.replace_list(spark, path, frame([("c",)], "entry string")) == 2
+    assert sinks.list_version(spark, path) is None
+    first = sinks.replace_list(spark, path, frame([("a",), ("b",)], "entry string"))
+    second = sinks.replace_list(spark, path, frame([("c",)], "entry string"))
+    assert first != second
     assert [r["entry"] for r in sinks.read_list(spark, path).collect()] == ["c"]
     with pytest.raises(ValueError):
         sinks.replace_list(spark, path, frame([], "entry string"))
-    assert sinks.list_version(spark, path) == 2
+    assert sinks.list_version(spark, path) == second
 
 
 def test_merge_skips_other_columns(frame):

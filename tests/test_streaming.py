@@ -78,6 +78,25 @@ def test_flow_patches_of_all_batches_last(spark, frame, tmp_path):
     assert got == {"a": (7.0, 8.0, 1), "b": (5.0, 6.0, 2), "z": (9.0, 9.0, 3)}
 
 
+def test_readers_take_the_last_compaction_and_what_follows(spark, frame, tmp_path, monkeypatch):
+    monkeypatch.setattr(S, "COMPACT_EVERY", 3)
+    path = str(tmp_path / "deltas")
+    assert S.left_by_batches(spark, path) is None
+    sink = S.flow_patch_sink(path)
+    schema = "account_id string, end timestamp, inflow_1h double, outflow_1h double"
+    for n in range(8):
+        sink(frame([(f"a{n % 5}", T0 + n * H, float(n), 0.0), ("hot", T0 + n * H, float(n), 1.0)], schema), n)
+    read = S.left_by_batches(spark, path).inputFiles()
+    assert {m for f in read for m in S._PLACE.findall(f)} == {("upto", "5"), ("batch", "6"), ("batch", "7")}
+    features = frame([(f"a{i}", -1.0, -1.0) for i in range(5)] + [("hot", -1.0, -1.0)], "account_id string, inflow_1h double, outflow_1h double")
+    got = {r["account_id"]: r["inflow_1h"] for r in S.patched_features(features, path).collect()}
+    assert got == {"a0": 5.0, "a1": 6.0, "a2": 7.0, "a3": 3.0, "a4": 4.0, "hot": 7.0}
+    (tmp_path / "deltas" / "batch=8").mkdir()
+    (tmp_path / "deltas" / "batch=8" / "part-0.parquet").write_text("broken")
+    with pytest.raises(Exception):
+        S.left_by_batches(spark, path).collect()
+
+
 def test_occurrences_go_on_across_batches(spark, frame, tmp_path):
     day = dt.timedelta(days=1)
     times = [0, 1, 2, 8.5, 16, 17]
