@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerscope import constants as C
-from ledgerscope.scale import micros, top_per_key, trailing_stats
+from ledgerscope.scale import as_of_join, micros, top_per_key, trailing_stats
 
 HOUR, DAY = 3_600, 86_400
 
@@ -26,6 +26,17 @@ def with_account_context(txn: DataFrame, accounts: DataFrame) -> DataFrame:
     )
 
 
+def with_account_versions(
+    txn: DataFrame, versions: DataFrame, take: list[str], key: str = "account_id", valid_until: str | None = None
+) -> DataFrame:
+    """Account attributes as they were when each payment was made.
+
+    ``versions``: ``(id, valid_from, ...)``, one row per change of an account.
+    """
+    named = versions.withColumnRenamed("id", key)
+    return as_of_join(txn, named, key, "ts", "valid_from", take, valid_until)
+
+
 def with_payee_age(txn: DataFrame, accounts: DataFrame) -> DataFrame:
     payee = accounts.select(
         F.col("id").alias("__id"), F.col("account_age_days").alias("payee_account_age_days")

@@ -11,6 +11,27 @@ from ledgerscope.sources.views import as_of, with_views
 QUERIES = q = Registry()
 
 
+# Every RTGS payment restates where its account is at home, for five days.
+@q(
+    "j1_account_as_of",
+    with_views(
+        "txn",
+        """, v AS (SELECT account_id, ts AS valid_from, max(geo_state) AS home_state, max(device_id) AS home_device FROM txn WHERE channel = 'RTGS' GROUP BY ALL),
+        m AS (SELECT t.transaction_id, t.ts, v.valid_from, v.home_state, v.home_device FROM txn t ASOF LEFT JOIN v ON t.account_id = v.account_id AND t.ts >= v.valid_from)
+        SELECT transaction_id, CASE WHEN ts < valid_from + INTERVAL 5 DAY THEN home_state END AS home_state, CASE WHEN ts < valid_from + INTERVAL 5 DAY THEN home_device END AS home_device FROM m""",
+    ),
+)
+def _(spark, d):
+    t = V.txn(spark, d)
+    versions = t.filter("channel = 'RTGS'").groupBy(F.col("account_id").alias("id"), F.col("ts").alias("valid_from")).agg(
+        F.max("geo_state").alias("home_state"), F.max("device_id").alias("home_device")
+    )
+    versions = versions.withColumn("valid_until", F.col("valid_from") + F.expr("INTERVAL 5 DAYS"))
+    return X.with_account_versions(t, versions, ["home_state", "home_device"], valid_until="valid_until").select(
+        "transaction_id", "home_state", "home_device"
+    )
+
+
 @q(
     "j1_j2_account_context",
     with_views(

@@ -236,6 +236,60 @@ def _trailing_hot(df, key, ts, measures, include_current, bucket_seconds):
     return gathered.select(*out)
 
 
+def as_of_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    at: str,
+    valid_from: str,
+    take: Sequence[str],
+    valid_until: str | None = None,
+    bucket_seconds: int = 3_600,
+) -> DataFrame:
+    """Each row of ``left`` with ``take`` of the version of its key in force at its time, or nulls.
+
+    A version is in force from ``valid_from`` (inclusive) until the next one, and not from
+    ``valid_until`` on, where that is given and not null.  Of versions with equal start the
+    one with the largest ``take`` values counts.  Rows without key or time, and versions
+    without start, match nothing; every row of ``left`` comes out once.
+
+    Both sides meet in one shuffle by key.  Keys with very many rows are cut into buckets
+    of time: the last version of each bucket is carried to later ones, so a row looks only
+    within its own bucket.
+    """
+    version = F.struct(micros(valid_from).alias("from"), *[F.col(c).alias(c) for c in [*take, *([valid_until] if valid_until else [])]])
+    versions = right.select(F.col(key).alias("__key"), micros(valid_from).alias("__us"), version.alias("__v"))
+    versions = versions.filter(F.col("__key").isNotNull() & F.col("__us").isNotNull())
+    versions = versions.groupBy("__key", "__us").agg(F.max("__v").alias("__v"))
+    rows = left.select(F.struct("*").alias("__row"), F.col(key).alias("__key"), micros(at).alias("__us"))
+    placed = F.col("__key").isNotNull() & F.col("__us").isNotNull()
+    timed, rest = rows.filter(placed), rows.filter(~placed)
+    both = timed.withColumn("__v", F.lit(None).cast(versions.schema["__v"].dataType)).withColumn("__side", F.lit(1))
+    empty = F.lit(None).cast(rows.schema["__row"].dataType)
+    both = both.unionByName(versions.select(empty.alias("__row"), "__key", "__us", "__v", F.lit(0).alias("__side")))
+    cold, hot = split_hot(both, ["__key"])
+    last = F.last("__v", ignorenulls=True)
+    before = Window.unboundedPreceding
+    joined = cold.withColumn("__found", last.over(Window.partitionBy("__key").orderBy("__us", "__side").rowsBetween(before, 0)))
+    if hot is not None:
+        cut = hot.withColumn("__b", F.floor(F.col("__us") / (bucket_seconds * 1_000_000)))
+        ends = cut.groupBy("__key", "__b").agg(F.max(F.when(F.col("__side") == 0, F.col("__v"))).alias("__e"))
+        earlier = Window.partitionBy("__key").orderBy("__b").rowsBetween(before, -1)
+        ends = ends.select("__key", "__b", F.last("__e", ignorenulls=True).over(earlier).alias("__carried"))
+        inside = last.over(Window.partitionBy("__key", "__b").orderBy("__us", "__side").rowsBetween(before, 0))
+        looked = cut.withColumn("__found", inside).join(ends, ["__key", "__b"])
+        joined = joined.unionByName(
+            looked.withColumn("__found", F.coalesce("__found", "__carried")).select(*joined.columns)
+        )
+    joined = joined.filter("__side = 1").select("__row", "__us", "__found").unionByName(
+        rest.select("__row", "__us", F.lit(None).cast(versions.schema["__v"].dataType).alias("__found"))
+    )
+    if valid_until:
+        over = micros(F.col("__found").getField(valid_until)) <= F.col("__us")
+        joined = joined.withColumn("__found", F.when(F.coalesce(over, F.lit(False)), None).otherwise(F.col("__found")))
+    return joined.select("__row.*", *[F.col("__found").getField(c).alias(c) for c in take])
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """At most ``n`` rows per key.  Spark limits each key map-side before the shuffle."""
     ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerscope.operators import context as X
-from ledgerscope.scale import exact_quantiles, prefix_sums, running_max, split_hot, trailing_stats
+from ledgerscope.scale import as_of_join, exact_quantiles, prefix_sums, running_max, split_hot, trailing_stats
 
 
 def _payments(seed=3, rows=120):
@@ -124,6 +124,29 @@ def test_scans_by_feature_with_nulls_ties_and_many_parts(spark):
     assert prefix_sums(df.filter("false"), "x", ["w"], by="f").count() == 0
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_as_of_join_on_both_routes(spark, hot, request):
+    if hot:
+        request.getfixturevalue("tiny_hot")
+    rnd = random.Random(5)
+    t0, m = dt.datetime(2024, 1, 1), dt.timedelta(minutes=1)
+    keys = ["h", "h", "h", "a", None]
+    rows = [(i, rnd.choice(keys), None if i % 17 == 0 else t0 + rnd.randrange(600) * m, "own") for i in range(150)]
+    versions = [(rnd.choice(keys), None if i % 13 == 0 else t0 + rnd.randrange(600) * m, i % 5, t0 + rnd.randrange(900) * m if i % 3 else None) for i in range(40)]
+    left = spark.createDataFrame(rows, "i int, k string, ts timestamp, note string")
+    right = spark.createDataFrame(versions, "k string, start timestamp, state int, stop timestamp")
+    got = {r["i"]: r["state"] for r in as_of_join(left, right, "k", "ts", "start", ["state"], "stop", bucket_seconds=3_000).collect()}
+    assert len(got) == len(rows)
+    low = dt.datetime.min
+    for i, k, ts, _ in rows:
+        fit = [(s, v, e or low, e) for vk, s, v, e in versions if vk == k and s is not None and ts is not None and k is not None and s <= ts]
+        best = max(fit, key=lambda x: x[:3]) if fit else None
+        want = best[1] if best and (best[3] is None or ts < best[3]) else None
+        assert got[i] == want, (i, k, ts)
+    assert as_of_join(left, right.filter("false"), "k", "ts", "start", ["state"]).filter("state IS NULL").count() == 150
+    assert as_of_join(left.filter("false"), right, "k", "ts", "start", ["state"]).count() == 0
+
+
 def test_scan_runs_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
