@@ -10,11 +10,14 @@ from ledgerscope.operators import profile as P
 from ledgerscope.operators.graph import paths as H
 from ledgerscope.operators.graph.features import account_graph_features
 from ledgerscope.plans.catalog import Registry
-from ledgerscope.plans.catalog.gates import BIPARTITE_SQL, CASH_SQL, SINK_SQL, TERMINAL_SQL, aged_edges
+from ledgerscope.plans.catalog.gates import (
+    BIPARTITE_SQL, CASH_SQL, FIRST_GATE_SQL, SINK_SQL, TERMINAL_SQL, account_gates, aged_edges,
+)
 from ledgerscope.plans.catalog.graph import all_trails
 from ledgerscope.plans.catalog.models import COMMITTEE_SQL, explained
 from ledgerscope.plans.catalog.profile import r
 from ledgerscope.plans.catalog.rules import CONTEXT_SQL, FINGERPRINT_SQL, context, feature_map
+from ledgerscope.plans.chain import run_chain
 from ledgerscope.plans.scoring import score_payments
 from ledgerscope.sources import tables
 from ledgerscope.sources import views as V
@@ -339,6 +342,54 @@ def scored_payments(spark, d, jitter_width=0.0):
     return score_payments(gated, raw, canaries, jitter_width=jitter_width)
 
 
+# ── The chain end to end, all gates and real scorer outputs ─────────────────
+
+
+def pattern_labels(rows):
+    """Payments under a gate or with two or more tier 1 flags are the examples to learn from."""
+    return rows.withColumn("label", F.when(F.col("gate_fired").isNotNull() | (F.size("tier1_flags") >= 2), 1).otherwise(0))
+
+
+def chain(spark, d):
+    a, t = V.acct(spark, d), V.txnv(spark, d)
+    canaries = a.select(F.col("id").alias("account_id")).filter(F.col("account_id") % 101 == 5)
+    gates, terminal = account_gates(spark, d, live=True), G.merchant_terminal(V.txn(spark, d), as_of())
+    # Trees of the depth of the other trained queries; the operator's own are deeper.
+    return run_chain(
+        t, a, V.edges(spark, d), as_of(), gates, terminal, pattern_labels, canaries, jitter_width=0.0, depth=4, rounds=10
+    )
+
+
+@q("p19_chain")
+def _(spark, d):
+    return chain(spark, d).select(
+        "transaction_id", "score", "action", "gate_fired", F.array_join("tier1_flags", ",").alias("flags"), "tier1_result", "tier3_score_raw"
+    )
+
+
+# What of the chain has a SQL form: exits, gates (the cycle gate too), fixed scores.
+@q(
+    "p19_chain_exits",
+    with_views(
+        "txnv txn acct edges",
+        CONTEXT_SQL
+        + FIRST_GATE_SQL
+        + """, exits AS (SELECT t.transaction_id, CASE WHEN t.account_id % 101 = 5 THEN 'canary' WHEN t.tier1_result = 'FAST_CLEAN' THEN 'clean' WHEN coalesce(g.gate, m.gate) IS NOT NULL THEN 'gate'
+          WHEN t.tier1_result = 'UNCERTAIN' THEN 'unsure' ELSE 'model' END AS path, coalesce(g.gate, m.gate) AS gf
+          FROM tier1 t LEFT JOIN acct_gate g ON t.account_id = g.account_id LEFT JOIN terminal m ON t.merchant_terminal_id = m.merchant_terminal_id)
+        SELECT transaction_id, CASE WHEN path = 'gate' THEN gf END AS gate_fired, path = 'model' AS judged,
+          CASE path WHEN 'canary' THEN 0.5::DOUBLE WHEN 'clean' THEN 0.05 WHEN 'gate' THEN 1.0 WHEN 'unsure' THEN 0.1 END AS fixed_score FROM exits""",
+        recursive=True,
+    ),
+)
+def _(spark, d):
+    rows = chain(spark, d)
+    by_model = F.col("tier3_score_raw").isNotNull() & (F.col("tier1_flags") != F.array(F.lit("canary")))
+    return rows.select(
+        "transaction_id", "gate_fired", by_model.alias("judged"), F.when(~by_model, F.col("score")).alias("fixed_score")
+    )
+
+
 @q(
     "p19_scored_payments",
     with_views(
