@@ -3,7 +3,7 @@
 Vectors are scaled to length one, where the largest cosine is the smallest distance.  A
 Gaussian (2-stable) projection to ``DIMS`` dimensions keeps distances in law: the squared
 projected distance over the squared distance is chi-squared with ``DIMS`` degrees of
-freedom.  Points are spread evenly over chunks by a hash of their id; each chunk builds a
+freedom.  Points are spread evenly over chunks by a hash of their row number; each chunk builds a
 kd-tree over its projected points.  A query takes the leaves in order of their projected
 distance and checks their points exactly, until the chi-squared test says that a point as
 near as the k-th found would, with probability ``CONFIDENCE``, have been projected nearer
@@ -16,8 +16,8 @@ at a time, and any number of blocks is handled.
 Defined results: null, zero and non-finite vectors, those with a null component, rows
 without id, and vectors that have not the most frequent length take no part; copies of a
 vector are candidates each, ties go to the smaller id; of rows that repeat an id, each is
-a candidate and the one with the smallest hash is the query; fewer candidates than asked
-for are all returned; an empty table gives no rows.
+a candidate and the one with the smallest hash is the query, which all but its own row may
+answer; fewer candidates than asked for are all returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -86,7 +86,7 @@ class Tree:
         return (off * off).sum(axis=1)
 
 
-def _search(tree, points, vectors, norms, ids, q, q_norm, q_id, projected, k, bound, factor):
+def _search(tree, points, vectors, norms, ids, own, q, q_norm, q_row, projected, k, bound, factor):
     """The ``k`` nearest of one chunk: scores and positions, best first."""
     near = tree.distances(projected)
     best_score, best_at = np.zeros(0), np.zeros(0, np.int64)
@@ -97,7 +97,7 @@ def _search(tree, points, vectors, norms, ids, q, q_norm, q_id, projected, k, bo
         a, b = tree.bounds[leaf]
         at = tree.order[a:b]
         off = points[at] - projected
-        at = at[((off * off).sum(axis=1) <= limit) & (ids[at] != q_id)]
+        at = at[((off * off).sum(axis=1) <= limit) & (own[at] != q_row)]
         if not len(at):
             continue
         # Row-wise sums: equal vectors get equal scores wherever they lie.
@@ -114,13 +114,14 @@ def _search(tree, points, vectors, norms, ids, q, q_norm, q_id, projected, k, bo
 def _block_search(rows: DataFrame, queries: list[tuple], sample: np.ndarray, k: int, chunks: int) -> DataFrame:
     """The nearest of each chunk for one block of queries."""
     dims = len(queries[0][1])
-    vectors = np.array([v for _, v in queries], np.float64)
+    vectors = np.array([v for _, v, _ in queries], np.float64)
     # A block of queries and a bounded sample.
-    shared = rows.sparkSession.sparkContext.broadcast((np.array([i for i, _ in queries]), vectors, sample))
-    chunked = rows.select(F.pmod(F.xxhash64("id"), F.lit(chunks)).alias("chunk"), "id", "v")
+    ids_rows = np.array([i for i, _, _ in queries]), np.array([r for _, _, r in queries], np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((*ids_rows, vectors, sample))
+    chunked = rows.select(F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk"), "id", "row", "v")
 
     def work(parts: Iterator[dict[str, np.ndarray]]) -> Iterator[dict]:
-        q_ids, q, seeds = shared.value
+        q_ids, q_rows, q, seeds = shared.value
         project = np.random.default_rng(SEED).standard_normal((dims, DIMS))
         factor = chi_squared_quantile(CONFIDENCE, DIMS)
         q_norms = np.sqrt((q * q).sum(axis=1))
@@ -129,7 +130,7 @@ def _block_search(rows: DataFrame, queries: list[tuple], sample: np.ndarray, k:
         for part in parts:
             edges = starts_of(part["chunk"])
             for a, b in zip(edges[:-1], edges[1:]):
-                ids = part["id"][a:b]
+                ids, own = part["id"][a:b], part["row"][a:b]
                 x = np.stack(part["v"][a:b])
                 norms = np.sqrt((x * x).sum(axis=1))
                 points = (x / norms[:, None]) @ project
@@ -137,7 +138,7 @@ def _block_search(rows: DataFrame, queries: list[tuple], sample: np.ndarray, k:
                 found: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
                 for i in range(len(q)):
                     score, at = _search(
-                        tree, points, x, norms, ids, q[i], q_norms[i], q_ids[i], q_points[i], k, bounds[i], factor
+                        tree, points, x, norms, ids, own, q[i], q_norms[i], q_rows[i], q_points[i], k, bounds[i], factor
                     )
                     found["query_id"] += [q_ids[i]] * len(at)
                     found["vec_id"] += ids[at].tolist()
@@ -174,8 +175,9 @@ def nearest(
     spark = vectors.sparkSession
     use_checkpoints(spark)
     # Read for the sample, the counts and once a block.
-    rows = usable(vectors, vec_id, embedding).checkpoint()
-    queries = rows.filter(is_query).groupBy("id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    rows = usable(vectors, vec_id, embedding).withColumn("row", F.monotonically_increasing_id()).checkpoint()
+    first = F.min_by(F.struct("v", "row"), F.struct(F.xxhash64("v"), F.col("row"))).alias("q")
+    queries = rows.filter(is_query).groupBy("id").agg(first).select("id", "q.v", "q.row")
     n, wanted = rows.count(), queries.count()
     seeds = np.array([r["v"] for r in rows.orderBy(F.xxhash64("id", "v")).limit(SAMPLE).collect()], np.float64)
     if n:
@@ -185,7 +187,7 @@ def nearest(
     for i in range(blocks):
         block = queries.filter(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)) == i).collect()
         if block:
-            found.append(_block_search(rows, [(r["id"], r["v"]) for r in block], seeds, k, chunks))
+            found.append(_block_search(rows, [(r["id"], r["v"], r["row"]) for r in block], seeds, k, chunks))
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

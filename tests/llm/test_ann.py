@@ -64,6 +64,13 @@ def test_odd_rows(spark):
     assert ann.nearest(table.filter("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_rows_that_repeat_a_query_id_are_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.1]), (0, [1.0, 0.0]), (7, [0.0, 1.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(table, F.col("id") % 50 == 0).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 0), (0, 0), (0, 7)]
+
+
 def test_copies_tie_to_smaller_ids(spark):
     rng = np.random.default_rng(3)
     same = rng.standard_normal(64).tolist()
