@@ -12,7 +12,7 @@ from ledgerscope.operators.graph.components import strong_components
 from ledgerscope.scale import cut_lineage, micros, top_per_key
 
 # Partial trails a repeated round may hold in all.
-ROUND_ROWS = 200_000
+ROUND_ROWS = 20_000
 
 
 def _steps(edges: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def trails(
     A round keeps the ``beam`` first partial trails of a seed in that order (``k`` at the
     last hop).  Any dropped partial trail sorts after every kept one of the same length, so
     once a seed has ``k`` trails of the longest length they are the right ones.  The first
-    round follows only partial trails that can still get there; seeds without ``k`` such
+    two rounds follow only partial trails that can still get there; seeds without ``k`` such
     trails (walks may use a transfer twice, trails may not) run again without that test,
     and with a wider beam as long as they lose partial trails.
 
@@ -167,14 +167,16 @@ def trails(
     aimed = hopeful.withColumn("aim", F.size(F.filter("bounds", lambda at: at >= F.col("since")))).filter("aim > 0")
     open_seeds = cut_lineage(aimed.drop("bounds"))
     done: list[DataFrame] = []
-    pruned = True
+    rounds = 0
     while open_seeds.take(1) or not done:
+        # Walks may use a transfer twice, so even the second round may need the test.
+        pruned = rounds < 2
         result, unsettled = _trail_round(open_seeds, index, tail, max_hops, k, beam, pruned)
         settled = result.join(unsettled, "seed_id", "left_anti")
         done.append(cut_lineage(settled))
         open_seeds = cut_lineage(open_seeds.join(unsettled, "seed_id", "left_semi"))
         # Few seeds may have wide beams from the start; every width gives the same trails.
-        beam, pruned = max(beam * 8, ROUND_ROWS // max(1, open_seeds.count())), False
+        rounds, beam = rounds + 1, beam * 8 if rounds == 0 else max(beam * 8, ROUND_ROWS // max(1, open_seeds.count()))
     return reduce(DataFrame.unionByName, done)
 
 
